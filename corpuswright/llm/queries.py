@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import exact_dedup as dedup
+from . import packing
 from . import quality_rules as rules
 
 
@@ -16,6 +17,10 @@ def _pages(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
+def op1_best_fit_packing(spark, sf_dir):
+    return packing.pack(_documents(spark, sf_dir))
+
+
 def op3_exact_dedup(spark, sf_dir):
     return dedup.exact_groups(_documents(spark, sf_dir), keep="max")
 
@@ -25,6 +30,7 @@ def op10_quality_rules(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
