@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import exact_dedup as dedup
+from . import language_id as languages
 from . import near_dedup, packing
 from . import quality_rules as rules
 
@@ -25,6 +26,10 @@ def op3_exact_dedup(spark, sf_dir):
     return dedup.exact_groups(_documents(spark, sf_dir), keep="max")
 
 
+def op7_language_id(spark, sf_dir):
+    return languages.language_id(_documents(spark, sf_dir))
+
+
 def op9_minhash_near_dedup(spark, sf_dir):
     return near_dedup.near_groups(_documents(spark, sf_dir), words=4, percent=80)
 
@@ -36,6 +41,7 @@ def op10_quality_rules(spark, sf_dir):
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op7_language_id": op7_language_id,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
