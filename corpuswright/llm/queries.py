@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from . import exact_dedup as dedup
 from . import language_id as languages
-from . import near_dedup, packing
+from . import mixing, near_dedup, packing
 from . import quality_rules as rules
 
 
@@ -30,6 +30,10 @@ def op7_language_id(spark, sf_dir):
     return languages.language_id(_documents(spark, sf_dir))
 
 
+def op8_source_mixing(spark, sf_dir):
+    return mixing.scheduled(_documents(spark, sf_dir).select("doc_id", "source"))
+
+
 def op9_minhash_near_dedup(spark, sf_dir):
     return near_dedup.near_groups(_documents(spark, sf_dir), words=4, percent=80)
 
@@ -42,6 +46,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op7_language_id": op7_language_id,
+    "op8_source_mixing": op8_source_mixing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
