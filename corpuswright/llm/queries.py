@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import exact_dedup as dedup
+from . import html_extraction as html
 from . import language_id as languages
 from . import mixing, near_dedup, packing
 from . import quality_rules as rules
+from . import warc
+from .common import table
 
 
 def _documents(spark, sf_dir):
@@ -26,6 +29,15 @@ def op3_exact_dedup(spark, sf_dir):
     return dedup.exact_groups(_documents(spark, sf_dir), keep="max")
 
 
+def op4_html_extraction(spark, sf_dir):
+    return html.main_text(_pages(spark, sf_dir))
+
+
+def op5_warc(spark, sf_dir):
+    archives = table(warc.bundles(_pages(spark, sf_dir)), "warc")
+    return warc.records(archives).drop("url", "html")
+
+
 def op7_language_id(spark, sf_dir):
     return languages.language_id(_documents(spark, sf_dir))
 
@@ -45,6 +57,8 @@ def op10_quality_rules(spark, sf_dir):
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_html_extraction": op4_html_extraction,
+    "op5_warc": op5_warc,
     "op7_language_id": op7_language_id,
     "op8_source_mixing": op8_source_mixing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
@@ -57,4 +71,11 @@ ORACLE = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(b) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY b)""",
+    "op5_warc": """
+        WITH t AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+             s AS (SELECT page_id, strlen(h) AS n, sha1(h) AS d, max(page_id) OVER (PARTITION BY h) AS f FROM t)
+        SELECT page_id, n AS payload_bytes, d AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id <> f THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id <> f THEN f END AS refers_to
+        FROM s""",
 }
