@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from . import exact_dedup as dedup
 from . import html_extraction as html
 from . import language_id as languages
-from . import mixing, near_dedup, packing
+from . import mixing, near_dedup, packing, pii
 from . import quality_rules as rules
 from . import warc
 from .common import table
@@ -38,6 +38,10 @@ def op5_warc(spark, sf_dir):
     return warc.records(archives).drop("url", "html")
 
 
+def op6_pii(spark, sf_dir):
+    return pii.digests(pii.spans(_documents(spark, sf_dir)))
+
+
 def op7_language_id(spark, sf_dir):
     return languages.language_id(_documents(spark, sf_dir))
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_html_extraction": op4_html_extraction,
     "op5_warc": op5_warc,
+    "op6_pii": op6_pii,
     "op7_language_id": op7_language_id,
     "op8_source_mixing": op8_source_mixing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
