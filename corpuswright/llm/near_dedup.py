@@ -21,7 +21,7 @@ ZEROS, MANTISSA = 31, 3
 MARGIN = 0.17
 #: Buckets of up to so many members give all their pairs; larger ones are worked off by pivots and blocks.
 SMALL = 16
-BLOCK = 1000
+BLOCK = 500
 SETS = "doc_id long, n_shingles long, d1 long, d2 long, registers binary"
 
 
@@ -147,9 +147,7 @@ def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
         for batch in found:
             keep = []
             for x, y in zip(batch.column("s_a"), batch.column("s_b"), strict=True):
-                a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(a) + len(b) - len(np.union1d(a, b)) if len(a) and len(b) else 0
-                keep.append(bool(both) and 100 * both >= percent * (len(a) + len(b) - both))
+                keep.append(_linked(*(np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y)), percent))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.select("a", "b", "s_a", "s_b").mapInArrow(judge, "a long, b long")
@@ -168,39 +166,59 @@ def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
     return _labelled(_labelled(pairs, labels, "a", "_ca"), labels, "b", "_cb").where("_ca <> _cb").drop("_ca", "_cb")
 
 
-def _blocks(members: DataFrame, classes: DataFrame, labels: DataFrame | None, least: float) -> DataFrame:
-    """Pairs (a, b) between components inside large buckets, compared in blocks; only those near the threshold come out.
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets share `percent` in a hundred of their union, or more."""
+    if not len(a) or not len(b):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _blocks(members: DataFrame, classes: DataFrame, full: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
+    """Links (a, b) between components inside large buckets, confirmed in blocks; enough of them to join what is linked.
 
     Buckets whose members are connected already are done. In the others members are dealt into blocks of about BLOCK,
-    and each two blocks meet in one task, whose memory the block bounds; pairs are compared there, never listed.
+    and each two blocks meet in one task, whose memory the block bounds. Full sets move once for a block, not for a
+    pair; pairs are compared there and never listed, each in the first band that it shares, and not once it's connected.
     """
+    least = percent / 100
     known = table(_labelled(members, labels, "rep", "root"), "members")
     open_keys = known.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("key")
     held = known.join(open_keys, "key").join(classes.select("rep", "n_shingles", "registers"), "rep")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     held = held.withColumn("_n", blocks).withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_n")).cast("int"))
+    held = held.join(full.select(F.col("node").alias("rep"), "set"), "rep")
     met = held.withColumn("_other", F.explode(F.expr("sequence(0, _n - 1)")))
-    met = met.select("key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "rep", "root", "n_shingles", "registers")
+    met = met.select("key", "band", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "rep", "root", "n_shingles", "registers", "set")
 
     def compare(key, group):
         import pyarrow as pa
 
-        i, j = key[1].as_py(), key[2].as_py()
-        own, rep, root, n = (group.column(c).to_numpy() for c in ("_own", "rep", "root", "n_shingles"))
-        held = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint8).reshape(-1, REGISTERS)
-        found: list[tuple[int, int]] = []
-        right = np.flatnonzero(own == j)
-        for x in np.flatnonzero(own == i):
-            near = right[(root[right] != root[x]) & (np.minimum(n[right], n[x]) >= least * np.maximum(n[right], n[x]))]
-            if i == j:
-                near = near[rep[near] > rep[x]]
-            if len(near):
+        band, i, j = (key[k].as_py() for k in (1, 2, 3))
+        own, rep, n = (group.column(c).to_numpy() for c in ("_own", "rep", "n_shingles"))
+        root = group.column("root").to_numpy().copy()
+        a, b = [], []
+        if root.min() != root.max():
+            held = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+            full_sets = [np.frombuffer(v, np.uint64) for v in group.column("set").to_pylist()]
+            right = np.flatnonzero(own == j)
+            for x in np.flatnonzero(own == i):
+                near = right[(root[right] != root[x]) & (np.minimum(n[right], n[x]) >= least * np.maximum(n[right], n[x]))]
+                if i == j:
+                    near = near[rep[near] > rep[x]]
+                if not len(near):
+                    continue
                 guess = estimate(held[near], held[x][None, :], n[near], np.full(len(near), n[x]))
-                found += [(min(rep[x], rep[y]), max(rep[x], rep[y])) for y in near[guess >= least - MARGIN]]
-        a, b = zip(*found, strict=True) if found else ((), ())
+                near = near[guess >= least - MARGIN]
+                shared = (held[near] == held[x]).reshape(-1, BANDS, ROWS).all(axis=2)
+                for y in near[shared.argmax(axis=1) == band]:
+                    if root[x] != root[y] and _linked(full_sets[x], full_sets[y], percent):
+                        a.append(int(min(rep[x], rep[y])))
+                        b.append(int(max(rep[x], rep[y])))
+                        root[root == root[y]] = root[x]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return met.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return met.groupBy("key", "band", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -215,7 +233,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     2. Classes meet in the buckets of BANDS bands. Small buckets give all their pairs, larger ones each member with one
        pivot, another in each band. Estimates, corrected for chance, leave pairs near the threshold or above.
     3. Every class is confirmed with its most similar partner first, on full sets; then pairs between components that
-       are still apart; last, in large buckets with several components, all pairs between them, compared in blocks.
+       are still apart; last, in large buckets with several components, all pairs between them, in blocks.
        So no candidate is left out: a pair that isn't confirmed was in one component already, or fell below.
     """
     least = percent / 100
@@ -223,15 +241,17 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     linked = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = linked.groupBy("n_shingles", "d1", "d2", "registers").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"))
     classes = table(classes, "classes")
-    bands = classes.select("rep", F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(registers, i * {ROWS} + 1, {ROWS})))")).alias("key"))
+    bands = classes.select("rep", F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(registers, i * {ROWS} + 1, {ROWS})))")).alias("band", "key"))
     # xor with the bucket's key makes another member the least in each bucket
     buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("rep").bitwiseXOR(F.col("key"))).alias("least")).where("n > 1")
-    members = table(bands.join(buckets, "key").select("key", "n", "rep", F.col("least").bitwiseXOR(F.col("key")).alias("pivot")), "buckets")
+    members = table(bands.join(buckets, "key").select("band", "key", "n", "rep", F.col("least").bitwiseXOR(F.col("key")).alias("pivot")), "buckets")
     few = members.where(f"n <= {SMALL}").groupBy("key").agg(F.array_sort(F.collect_list("rep")).alias("all"))
     few = few.select(F.explode(F.expr("flatten(transform(all, x -> transform(filter(all, y -> y > x), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")
     many = members.where(f"n > {SMALL} AND rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
     pairs = table(_estimated(few.unionByName(many).distinct(), classes, least), "pairs")
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    large = members.where(f"n > {SMALL}").select("band", "key", "n", "rep")
+    ends = (pairs.select(F.col("a").alias("node")), pairs.select(F.col("b").alias("node")), large.select(F.col("rep").alias("node")))
+    nodes = ends[0].unionByName(ends[1]).unionByName(ends[2]).distinct()
     full = table(_full_sets(docs, nodes, words), "sets")
 
     ends = pairs.selectExpr("a as node", "b as other", "estimate").unionByName(pairs.selectExpr("b as node", "a as other", "estimate"))
@@ -240,14 +260,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     labels = components.merge(None, table(_confirmed(first, full, percent), "links"))
     rest = table(_apart(pairs.select("a", "b").join(first, ["a", "b"], "left_anti"), labels), "rest")
     labels = components.merge(labels, table(_confirmed(rest, full, percent), "links"))
-    large = members.where(f"n > {SMALL}").select("key", "n", "rep")
-    if large.head(1):
-        last = _blocks(large, classes, labels, least).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-        last = table(last, "blocks")
-        more = last.select(F.col("a").alias("node")).unionByName(last.select(F.col("b").alias("node"))).distinct().join(full.select("node"), "node", "left_anti")
-        if more.head(1):
-            full = full.unionByName(table(_full_sets(docs, more, words), "sets"))
-        labels = components.merge(labels, table(_confirmed(last, full, percent), "links"))
+    labels = components.merge(labels, table(_blocks(large, classes, full, labels, percent), "links"))
 
     # only classes of several rows, or with a smaller component, are looked up, over salts
     told = _labelled(classes, labels, "rep", "root").where("rows > 1 OR root <> rep").select("d1", "d2", "n_shingles", "root")
