@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns_of, text_of
@@ -16,7 +16,7 @@ from .shingles import mix
 from .token_ids import chunks
 
 ORDER = 4
-#: Labelled rows of each language that the models and their calibration are fitted on, at most; whole texts.
+#: Labelled rows of each language that the models and their calibration are fitted on, about; whole texts.
 SAMPLE = 2000
 #: More languages than this in the labels are an error rather than a model that no longer fits a worker's memory.
 LANGUAGES = 256
@@ -236,21 +236,22 @@ def _count(found: Iterator) -> Iterator:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """The calibrated model of labelled docs (doc_id, text, lang), from at most `sample` rows of each language.
+    """The calibrated model of labelled docs (doc_id, text, lang), from about `sample` rows of each language.
 
-    Rows whose crc32(doc_id as text) mod 5 is 0 are held out, and rows without id, lang or text left out. The rows with
-    the least hashes of their ids are taken, so the choice doesn't depend on how the table is split; of those, one in
-    CALIBRATE calibrates. None if nothing can be learned.
+    Rows whose crc32(doc_id as text) mod 5 is 0 are held out, and rows without id, lang or text left out. Rows are
+    taken by the hash of their id, all of a language that has no more than `sample`, so the choice doesn't depend on how
+    the table is split; of those, one in CALIBRATE calibrates. None if nothing can be learned.
     """
     key, order = F.crc32(F.col("doc_id").cast("string")), F.xxhash64("doc_id")
     learned = docs.where((key % 5 != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text", order.alias("_h"), (key % (5 * CALIBRATE) < 5).alias("aside"))
-    ranked = learned.select("lang", "_h").withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h")))
-    cuts = ranked.where(F.col("_r") <= sample).groupBy("lang").agg(F.max("_h").alias("cut")).limit(LANGUAGES + 1).collect()
-    if not cuts:
+    sizes = learned.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()
+    if not sizes:
         return None
-    if len(cuts) > LANGUAGES:
+    if len(sizes) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
-    cut = F.create_map(*[F.lit(x) for row in cuts for x in (row["lang"], row["cut"])])
+    # hashes are spread evenly over 64 bits, so this part of them has about `sample` rows
+    part = {row["lang"]: min(1.0, sample / row["n"]) for row in sizes}
+    cut = F.create_map(*[F.lit(x) for lang, p in part.items() for x in (lang, min(2**63 - 1, -(2**63) + int(p * 2**64)))])
     taken = learned.where(F.col("_h") <= F.try_element_at(cut, F.col("lang"))).select("lang", "text", "aside")
     rows = taken.mapInArrow(_count, "lang string, gram string, n long").groupBy("lang", "gram", F.col("n").isNull().alias("aside")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
     counts: dict[str, dict[str, int]] = defaultdict(dict)
