@@ -9,6 +9,7 @@ from . import html_extraction as html
 from . import language_id as languages
 from . import mixing, near_dedup, packing, pii
 from . import quality_rules as rules
+from . import token_counts as tokens
 from . import warc
 from .common import table
 
@@ -25,6 +26,10 @@ def op1_best_fit_packing(spark, sf_dir):
     return packing.pack(_documents(spark, sf_dir))
 
 
+def op2_token_counts(spark, sf_dir):
+    return tokens.token_counts(_documents(spark, sf_dir))
+
+
 def op3_exact_dedup(spark, sf_dir):
     return dedup.exact_groups(_documents(spark, sf_dir), keep="max")
 
@@ -60,6 +65,7 @@ def op10_quality_rules(spark, sf_dir):
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_token_counts": op2_token_counts,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_html_extraction": op4_html_extraction,
     "op5_warc": op5_warc,
