@@ -1,10 +1,10 @@
-"""Registry of the queries over the test tables."""
+"""All registered queries."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import metric_queries, source_queries, store_queries  # noqa: F401  they register themselves
+from .registry import ORACLE, QUERIES
 
+flagship = store_queries.ingest_pipeline
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+__all__ = ["ORACLE", "QUERIES", "flagship"]
