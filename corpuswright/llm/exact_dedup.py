@@ -52,5 +52,5 @@ def exact_dedup(docs: DataFrame, keep: str = "min") -> DataFrame:
     """
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     kept = exact_groups(docs, keep).where("kept").select(name.alias("_id"), F.col("text_sha256").alias("_s")).distinct()
-    named = docs.withColumn("_id", name).withColumn("_s", F.sha2(lower_az(text_of("text")), 256))
-    return named.join(kept, ["_id", "_s"], "left_semi").dropDuplicates(["_id", "_s"]).drop("_id", "_s")
+    rows = docs.select(F.struct("*").alias("_row"), name.alias("_id"), F.sha2(lower_az(text_of("text")), 256).alias("_s"))
+    return rows.join(kept, ["_id", "_s"], "left_semi").dropDuplicates(["_id", "_s"]).select("_row.*")

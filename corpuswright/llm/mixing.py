@@ -103,14 +103,17 @@ def scheduled(docs: DataFrame, weights: dict[str, float] | None = None, block: i
     rest = next((i for i, (name, *_) in enumerate(lanes) if name is None), 0)
 
     first = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
-    lane_of = docs.withColumn("_u", first).join(F.broadcast(known.select(F.col("_name").alias("_source"), F.col("_lane").alias("_l"))), F.col("source") == F.col("_source"), "left")
-    lane_of = lane_of.withColumn("_lane", F.coalesce("_l", F.lit(rest))).drop("_l", "_source")
-    placed = lane_of.join(F.broadcast(known.drop("_name")), "_lane")
-    placed = placed.withColumn("_s", F.shiftright(F.col("_u") * F.col("_k"), 32))
-    ranked = placed.withColumn("_r", F.row_number().over(Window.partitionBy("_lane", "_s").orderBy("_u", "doc_id")) - 1)
-    sizes = docs.select("doc_id", "source").withColumn("_u", first).join(F.broadcast(known.select(F.col("_name").alias("_source"), F.col("_lane").alias("_l"))), F.col("source") == F.col("_source"), "left")
-    sizes = sizes.select("_u", F.coalesce("_l", F.lit(rest)).alias("_lane")).join(F.broadcast(known.select("_lane", "_k")), "_lane")
-    sizes = sizes.groupBy("_lane", F.shiftright(F.col("_u") * F.col("_k"), 32).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    names = F.broadcast(known.select(F.col("_name").alias("_source"), F.col("_lane").alias("_l")))
+
+    def streamed(rows: DataFrame) -> DataFrame:
+        """rows (_from, _u) with their lane's columns and the stream _s."""
+        found = rows.join(names, F.col("_from") == F.col("_source"), "left").withColumn("_lane", F.coalesce("_l", F.lit(rest))).drop("_l", "_source", "_from")
+        return found.join(F.broadcast(known.drop("_name")), "_lane").withColumn("_s", F.shiftright(F.col("_u") * F.col("_k"), 32))
+
+    source = F.col("source").cast("string").alias("_from")
+    placed = streamed(docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), source, first.alias("_u")))
+    ranked = placed.withColumn("_r", F.row_number().over(Window.partitionBy("_lane", "_s").orderBy("_u", "_id")) - 1)
+    sizes = streamed(docs.select(source, first.alias("_u"))).groupBy("_lane", "_s").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("_lane").orderBy("_s")) - F.col("_n")).drop("_n")
     found = ranked.join(before, ["_lane", "_s"]).withColumn("_rank", F.col("_r") + F.col("_before"))
     q, a = F.lit(sum(slots) or 1).cast("long"), F.col("_a")
@@ -124,10 +127,11 @@ def scheduled(docs: DataFrame, weights: dict[str, float] | None = None, block: i
         "release": F.floor(F.col("_block") * q / a).cast("long"),
         "deadline": F.ceil((F.col("_block") + 1) * q / a).cast("long"),
     }
-    return found.select(*docs.columns, *[c.alias(prefix + name) for name, c in out.items()])
+    return found.select("_row.*", *[c.alias(prefix + name) for name, c in out.items()])
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
     """docs in the order of the mix, with its own columns and all rows: consecutive files hold consecutive slots."""
     order = scheduled(docs, weights, block, period, prefix="__mix_")
-    return order.orderBy("__mix_slot", "__mix_place").select(*docs.columns)
+    ordered = order.orderBy("__mix_slot", "__mix_place")
+    return ordered.drop(*[c for c in ordered.columns if c.startswith("__mix_")])

@@ -276,4 +276,4 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     Rows that repeat a doc_id share its fate; rows without a doc_id stay.
     """
     gone = near_groups(docs, words, percent).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti")
