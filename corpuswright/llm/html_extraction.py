@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import random
 from collections.abc import Iterator
 
@@ -88,6 +89,7 @@ class _Maker:
         return head + "".join(self.boiler() for _ in range(r.randint(0, 4))) + self.article() + "".join(self.boiler() for _ in range(r.randint(0, 4))) + "</body></html>"
 
 
+@functools.cache
 def fit(pages: int = PAGES, seed: int = 1) -> boosting.Trees:
     """Calibrated trees from made pages; an element counts as main text if more of its characters are than aren't."""
     maker = _Maker(seed)

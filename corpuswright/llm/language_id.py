@@ -73,14 +73,14 @@ def gram_hashes(points: np.ndarray, order: int) -> np.ndarray:
 @dataclass
 class Model:
     """By order: sorted gram hashes and each language's log-probability of the last character; sorted context hashes and
-    each language's log-weight of the shorter gram. floor: of characters that no language has."""
+    each language's log-weight of the shorter gram. floor: each language's log-probability of a character none has."""
 
     languages: list[str]
     grams: list[np.ndarray]
     logs: list[np.ndarray]
     contexts: list[np.ndarray]
     weights: list[np.ndarray]
-    floor: float
+    floor: np.ndarray
     slope: float = 1.0
     base: float = 0.0
     most: float = math.inf
@@ -116,7 +116,7 @@ class Model:
                 before = np.maximum(left - 1, 0)
                 at, there = self._find(self.contexts[order], gram_hashes(points, order - 1)[before])
                 out[left[there]] += self.weights[order][at[there]]
-        out[left] += np.float32(self.floor)
+        out[left] += self.floor
         return out
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -179,7 +179,7 @@ def build(counts: dict[str, dict[str, int]]) -> Model:
     for k in range(ORDER - 1, 0, -1):
         by_order[k] = [dict(Counter(g[1:] for g in longer)) for longer in by_order[k + 1]]
     alphabet = len({g for c in by_order[1] for g in c}) + 1
-    model = Model(languages, [None] * (ORDER + 1), [None] * (ORDER + 1), [None] * (ORDER + 1), [None] * (ORDER + 1), math.log(1 / alphabet))
+    model = Model(languages, [None] * (ORDER + 1), [None] * (ORDER + 1), [None] * (ORDER + 1), [None] * (ORDER + 1), np.zeros(len(languages), np.float32))
     shorter: dict[str, np.ndarray] = {}
     for k in range(1, ORDER + 1):
         union = sorted({g for c in by_order[k] for g in c})
@@ -211,6 +211,8 @@ def build(counts: dict[str, dict[str, int]]) -> Model:
             rows = np.log(np.array([found[g] for g in keys]).reshape(len(keys), len(languages))).astype(np.float32)
             getattr(model, name)[k] = hashed[order]
             getattr(model, "logs" if name == "grams" else "weights")[k] = rows[order]
+        if k == 1:
+            model.floor = np.log(weights[""] / alphabet).astype(np.float32)
         shorter = probability
     return model
 

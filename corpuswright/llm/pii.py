@@ -175,15 +175,24 @@ def _made(seed: int = 3, n: int = MADE) -> list[tuple[int, str]]:
     return out
 
 
+_fitted: list[boosting.Trees] = []
+
+
 def fit(spark: SparkSession) -> boosting.Trees:
-    """Trees over the features of candidates in made texts, of which one in four calibrates. Their number is fixed."""
+    """Trees over the features of candidates in made texts, of which one in four calibrates.
+
+    The texts are the same in every run and nothing of the input is learned from, so a process fits once.
+    """
+    if _fitted:
+        return _fitted[0]
     packed = "\u0001".join(f"{y}{text}" for y, text in _made())
     rows = spark.range(1).select(F.posexplode(F.split(F.lit(packed), "\u0001")).alias("i", "row"))
     rows = rows.select("i", F.substring("row", 1, 1).cast("int").alias("y"), F.expr("substring(row, 2)").alias("text"))
     found = rows.select("i", "y", F.explode(_all_candidates(F.col("text"))).alias("c")).select("i", "y", *[F.col(f"c.{n}") for n in NAMES]).collect()
     x = np.array([[r[n] for n in NAMES] for r in found], float)
     y, aside = np.array([r["y"] for r in found], float), np.array([r["i"] % 4 == 0 for r in found])
-    return boosting.calibrate(boosting.fit(x[~aside], y[~aside], NAMES), x[aside], y[aside])
+    _fitted.append(boosting.calibrate(boosting.fit(x[~aside], y[~aside], NAMES), x[aside], y[aside]))
+    return _fitted[0]
 
 
 def spans(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
