@@ -16,6 +16,8 @@ SEQUENCE = 1024
 END = 2
 #: Documents that one packing task gets, about; also of the pools of later rounds.
 GROUP = 20_000
+#: Bins of a group that are filled anew, at most, where its bound isn't met.
+TIGHTEN = 2048
 #: Rounds of exchange after the first packing.
 ROUNDS = 3
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -108,6 +110,73 @@ def bins_needed(lengths: list[int], size: int) -> int:
     return best
 
 
+def fill(lengths: list[int], size: int) -> list[list[int]]:
+    """Bins filled one by one: the longest item left, and of the others the set that leaves least room.
+
+    Sums that can be reached are bits of a whole number; longer items are tried first, so short ones stay for later bins.
+    """
+    held: dict[int, list[int]] = {}
+    for i, x in enumerate(lengths):
+        held.setdefault(x, []).append(i)
+    kinds = sorted(held, reverse=True)
+    out = []
+    while kinds:
+        first = kinds[0]
+        content = [held[first].pop()]
+        room = size - first
+        limit, sums, steps = (1 << room + 1) - 1, 1, []
+        for x in kinds:
+            if x > room or sums >> room & 1:
+                continue
+            for _ in range(min(len(held[x]), room // x)):
+                more = sums | (sums << x & limit)
+                if more == sums:
+                    break
+                steps.append((x, sums))
+                sums = more
+        at = sums.bit_length() - 1
+        for x, before in reversed(steps):
+            if not before >> at & 1:
+                content.append(held[x].pop())
+                at -= x
+        out.append(content)
+        kinds = [x for x in kinds if held[x]]
+    return out
+
+
+def tighten(lengths: list[int], bins: list[int], places: list[int], n: int, size: int, bound: int) -> int:
+    """Packs the emptiest bins again by `fill`, more and more of them, until the bound is met; bins and places change.
+
+    Returns the number of bins, which are numbered without gaps.
+    """
+    several = 64
+    while n > bound and several < 4 * TIGHTEN:
+        filled = [0] * n
+        for b, x in zip(bins, lengths, strict=True):
+            filled[b] += x
+        loose = sorted(range(n), key=filled.__getitem__)[: min(several, TIGHTEN)]
+        number = {b: k for k, b in enumerate(loose)}
+        items = [i for i, b in enumerate(bins) if b in number]
+        again = fill([lengths[i] for i in items], size)
+        if len(again) < len(loose):
+            for content, b in zip(again, loose, strict=False):
+                at = 0
+                for k in content:
+                    bins[items[k]], places[items[k]] = b, at
+                    at += lengths[items[k]]
+            spare = sorted(loose[len(again) :])
+            n -= len(spare)
+            gone = set(spare)
+            # the last bins take the numbers that are free now
+            to = dict(zip((b for b in range(n, n + len(spare)) if b not in gone), (b for b in spare if b < n), strict=True))
+            if to:
+                bins[:] = [to.get(b, b) for b in bins]
+        elif several >= n:
+            break
+        several *= 2
+    return n
+
+
 def _packer(turn: int, size: int, last: bool):
     """Packs a group; where its bins exceed the bound, frees its emptiest bins for the next round unless last."""
 
@@ -116,7 +185,9 @@ def _packer(turn: int, size: int, last: bool):
 
         lengths = group.column("length").to_pylist()
         bins, places, n = best_fit(lengths, size)
-        gap = n - bins_needed(lengths, size)
+        bound = bins_needed(lengths, size)
+        n = tighten(lengths, bins, places, n, size, bound)
+        gap = n - bound
         freed: set[int] = set()
         if gap > 0 and not last:
             filled = [0] * n
@@ -138,8 +209,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, size: int = SEQUENCE, g
     """The pieces of docs (see `pieces`), each with its sequence_id and the offset there, in few sequences.
 
     Short pieces are dealt by row into groups of about `group`, whatever their source or length, and each group is
-    packed best-fit decreasing. Dual feasible functions bound the bins that a group needs. Groups that reach the bound
-    are done. Others free their emptiest bins; the documents of those of several groups meet in a pool and are packed
+    packed best-fit decreasing. Dual feasible functions bound the bins that a group needs. Groups that reach the bound,
+    if need be after their emptiest bins are filled anew (`tighten`), are done. Others free their emptiest bins; the documents of those of several groups meet in a pool and are packed
     again, for up to ROUNDS rounds, the last of which keeps all its bins. Only lengths move, never texts. A row is
     packed once, also if its doc_id repeats or is null.
     """

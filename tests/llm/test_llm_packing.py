@@ -31,7 +31,9 @@ def test_ids_equal_the_tokenizers():
 def test_bounds_hold_and_bins_fit(seed):
     r = random.Random(seed)
     lengths = [r.choice([r.randint(1, 100), r.randint(30, 70), 51, 34]) for _ in range(r.randint(0, 300))]
-    bins, places, n = P.best_fit(lengths, 100)
+    bins, places, first = P.best_fit(lengths, 100)
+    n = P.tighten(lengths, bins, places, first, 100, P.bins_needed(lengths, 100))
+    assert n <= first
     held = defaultdict(list)
     for b, p, x in zip(bins, places, lengths, strict=True):
         held[b].append((p, x))
