@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuswright.functions.draws import randint, uniform
+from corpuswright.functions.text import last_lines
+from corpuswright.functions.tokenizers import Tokenizer
 from corpuswright.schemas import BLOCK_SIZE, EVAL_SAMPLES, FIM_END, FIM_MID, FIM_PRE, FIM_SUF, IGNORE, MIN_CHUNK, MIN_EVAL, MIN_FIM, PAD_TOKEN
 
 
@@ -71,3 +73,14 @@ def eval_set(records: DataFrame, block: int = BLOCK_SIZE, n: int = EVAL_SAMPLES)
 def last_chunk(chunked: DataFrame) -> DataFrame:
     """The ids of the last chunk in the order of (ordinal, chunk)."""
     return chunked.agg(F.max_by("ids", F.struct("ordinal", "chunk")).alias("ids"))
+
+
+def prompt(chunked: DataFrame, tokenizer: Tokenizer, block: int = BLOCK_SIZE, room: int = 32, lines: int = 6) -> DataFrame:
+    """text and ids for a sample at a checkpoint: the last chunk's last lines, at most block - room ids from their end.
+
+    The end mark is left out, so that a model goes on from the text.
+    """
+    text = last_chunk(chunked).select(last_lines(tokenizer.detokenize(F.col("ids")), lines).alias("text"))
+    ids = text.withColumn("ids", tokenizer.tokenize(F.col("text")))
+    bare = F.slice("ids", F.lit(1), F.size("ids") - 1)
+    return ids.withColumn("ids", F.slice(bare, F.greatest(F.size(bare) - (block - room), F.lit(0)) + 1, F.lit(block - room)))

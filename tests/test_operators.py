@@ -10,6 +10,7 @@ from corpuswright.functions.tokenizers import ByteTokenizer
 from corpuswright.operators import batching as B
 from corpuswright.operators import catalog, dedup, metrics, ranks, report, serve, stats, store
 from corpuswright.operators.interleave import round_robin
+from corpuswright.operators.state import ServingState
 from corpuswright.sources import adapters as A
 from corpuswright.sources import token_log
 
@@ -230,3 +231,22 @@ def test_statistics_and_report(spark):
     assert (total.total_samples, total.total_tokens, total.current_file_index, total.total_served_tokens) == (3, 2011, 27 + 4022, 11)
     page = report.render(out, stats.totals(out))
     assert "B&lt;/script&gt;" in page and "B</script>" not in page and "2.0K" in page
+
+
+def test_serving_state_outlives_a_session(spark, tmp_path):
+    held = records(spark, 7)
+    assert sorted(r.position for r in ServingState(spark, str(tmp_path)).serve(held, 5).collect()) == [0, 1, 2, 3, 4]
+    state = ServingState(spark, str(tmp_path))
+    assert state.cursor == serve.Cursor(5)
+    assert sorted(r.position for r in state.serve(held, 4).collect()) == [0, 1, 5, 6]
+    state.reset()
+    assert state.cursor == serve.Cursor(0)
+    done = state.served().first()
+    assert (done.served_count, done.served_token_count) == (9, 27)
+
+
+def test_prompt_is_the_end_of_the_last_chunk(spark):
+    t = ByteTokenizer()
+    rows = frame(spark, [(1, "first"), (2, "\n".join("abcdefghij"))], "ordinal long, text string").withColumn("tokens", t.tokenize(F.col("text")))
+    row = B.prompt(B.chunks(rows, 64, ("ordinal",)), t, block=36, room=32).first()
+    assert row.text == "\n".join("efghij") and bytes(row.ids).decode() == "\n".join("ij")[-4:].rjust(4, "\n")

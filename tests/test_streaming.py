@@ -3,6 +3,7 @@ import json
 from corpuswright.functions.tokenizers import ByteTokenizer
 from corpuswright.operators import store
 from corpuswright.streaming import ingest
+from corpuswright.streaming.progress import Throughput
 
 
 def put(folder, name, rows):
@@ -28,3 +29,11 @@ def test_stream_equals_batch_and_restarts(spark, tmp_path):
     batch = sorted((r.ordinal, r.category_id, r.token_count) for r in store.ingest(df, ByteTokenizer()).collect())
     assert run() == batch
     assert sorted(r.ordinal for r in ingest.resume(df, 18).collect()) == [19, 20, 21]
+
+
+def test_throughput_over_the_last_batches():
+    seen = Throughput(window=2)
+    assert seen.rate("q") == 0
+    for rows, seconds in ((1000, 1.0), (10, 1.0), (30, 3.0)):
+        seen.add("q", rows, seconds)
+    assert seen.rate("q") == 10 and seen.rows["q"] == 1040
