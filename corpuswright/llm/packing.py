@@ -6,7 +6,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import columns_of, table, text_of
@@ -21,15 +21,17 @@ TIGHTEN = 2048
 #: Rounds of exchange after the first packing.
 ROUNDS = 3
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-_ROUND_BITS, _GROUP_BITS = 58, 28
+_PLACED = PIECES + ", place long"
+_ROUND_BITS, _GROUP_BITS = 58, 20
 
 
 def pieces(docs: DataFrame, vocabulary: str | None = None, size: int = SEQUENCE) -> DataFrame:
-    """One row per piece of each row of docs: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    """One row per piece of each row of docs: doc_id, piece, start, length, ids_crc32, sequence_id, offset, place.
 
     A document is its text's ids and then END; null text is empty. Only longer ones than `size` are cut, into pieces
     of `size`, the first of which may be shorter. Full pieces fill a sequence each and have it here already; the
-    others have a null sequence_id. Numbers of full sequences are dealt by task, so the result is to be written once.
+    others have a null sequence_id, and their task and rank in its order as place. Numbers of full sequences and places
+    are dealt by task, so the result is to be written once.
     """
     folder = vocabulary or default_vocabulary()
 
@@ -38,9 +40,9 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, size: int = SEQUENCE)
         from pyspark import TaskContext
 
         bpe, end = load(folder), END.to_bytes(4, "little")
-        number = TaskContext.get().partitionId() << 32
+        number = place = TaskContext.get().partitionId() << 32
         for batch in batches:
-            out = [[] for _ in range(7)]
+            out = [[] for _ in range(8)]
             packed = (p for some in chunks(batch.column(1).to_pylist()) for p in bpe.packed(some))
             for doc, body in zip(batch.column(0).to_pylist(), packed, strict=True):
                 ids = memoryview(body + end)
@@ -49,15 +51,16 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, size: int = SEQUENCE)
                 start = 0
                 for piece, stop in enumerate(ends):
                     full = stop - start == size
-                    for column, value in zip(out, (doc, piece, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop]), number if full else None, 0 if full else None), strict=True):
+                    for column, value in zip(out, (doc, piece, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop]), number if full else None, 0 if full else None, None if full else place), strict=True):
                         column.append(value)
                     number += full
+                    place += not full
                     start = stop
-            types = (pa.int64(), pa.int32(), *[pa.int64()] * 5)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
+            types = (pa.int64(), pa.int32(), *[pa.int64()] * 6)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], [x.split()[0] for x in _PLACED.split(", ")])
 
     rows = columns_of(docs, ["doc_id", "text"], "packing").select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
-    return rows.mapInArrow(cut, PIECES)
+    return rows.mapInArrow(cut, _PLACED)
 
 
 def best_fit(lengths: list[int], size: int) -> tuple[list[int], list[int], int]:
@@ -205,26 +208,40 @@ def _packer(turn: int, size: int, last: bool):
     return pack
 
 
+def _neighbours(short: DataFrame, group: int) -> DataFrame:
+    """short without place, with _g: groups of `group` neighbours, over the ends of tasks.
+
+    Tasks' sizes, one row each, are summed up in their order, which gives each row its rank.
+    """
+    task = F.shiftright("place", 32).cast("int")
+    sizes = short.groupBy(task.alias("_task")).agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("_task", (F.sum("_n").over(Window.orderBy("_task")) - F.col("_n")).alias("_start"))
+    rank = F.col("_start") + F.pmod(F.col("place"), F.lit(1 << 32))
+    ranked = short.withColumn("_task", task).join(starts, "_task")
+    return ranked.withColumn("_g", F.floor(rank / group).cast("long")).drop("place", "_task", "_start")
+
+
 def pack(docs: DataFrame, vocabulary: str | None = None, size: int = SEQUENCE, group: int = GROUP) -> DataFrame:
     """The pieces of docs (see `pieces`), each with its sequence_id and the offset there, in few sequences.
 
-    Short pieces are dealt by row into groups of about `group`, whatever their source or length, and each group is
-    packed best-fit decreasing. Dual feasible functions bound the bins that a group needs. Groups that reach the bound,
-    if need be after their emptiest bins are filled anew (`tighten`), are done. Others free their emptiest bins; the documents of those of several groups meet in a pool and are packed
-    again, for up to ROUNDS rounds, the last of which keeps all its bins. Only lengths move, never texts. A row is
-    packed once, also if its doc_id repeats or is null.
+    Short pieces form groups of `group` neighbours in the order of docs, so that sequences hold what stood together there. Each group is packed best-fit decreasing. Dual feasible functions bound the bins that a group
+    needs. Groups that reach the bound, if need be after their emptiest bins are filled anew (`tighten`), are done. Others
+    free their emptiest bins; the documents of those of several groups meet in a pool of about `group` and are packed
+    again, for up to ROUNDS rounds, the last of which keeps all its bins. Only lengths move, never texts. A row is packed
+    once, also if its doc_id repeats or is null.
     """
     cut = table(pieces(docs, vocabulary, size), "pieces")
-    done = [cut.where("sequence_id IS NOT NULL")]
-    rest, turn = cut.where("sequence_id IS NULL"), 0
+    done = [cut.where("sequence_id IS NOT NULL").drop("place")]
+    rest, turn = _neighbours(cut.where("sequence_id IS NULL"), group), 0
     while n := rest.count():
-        groups, last = max(1, n // group), turn == ROUNDS
-        dealt = rest.withColumn("_g", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32", F.lit(turn)), F.lit(groups)))
-        dealt = dealt.drop("sequence_id", "offset").repartition(groups, "_g")
-        packed = dealt.groupBy("_g").applyInArrow(_packer(turn, size, last or groups == 1), PIECES)
-        packed = table(packed, f"packed{turn}")
+        pools, last = max(1, n // group), turn == ROUNDS
+        if turn:
+            rest = rest.withColumn("_g", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32", F.lit(turn)), F.lit(pools)))
+        last = last or bool(turn) and pools == 1
+        dealt = rest.drop("sequence_id", "offset").repartition(pools, "_g")
+        packed = table(dealt.groupBy("_g").applyInArrow(_packer(turn, size, last), PIECES), f"packed{turn}")
         done.append(packed.where("sequence_id IS NOT NULL"))
-        if last or groups == 1:
+        if last:
             break
         rest, turn = packed.where("sequence_id IS NULL"), turn + 1
     out = done[0]
