@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Words whose ids are remembered, at most; then the memory starts anew.
-REMEMBER = 800_000
+REMEMBER = 250_000
 #: Beyond these letters the splitting pattern's Unicode tables may differ between libraries, so the tokenizer itself splits.
 _PLAIN_END = "ɏ"
 
