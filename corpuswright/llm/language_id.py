@@ -24,7 +24,7 @@ LANGUAGES = 256
 CALIBRATE = 4
 #: A prediction less sure than this is rejected; so is a text whose cross-entropy is beyond all but one in a thousand
 #: calibration texts by more than SLACK nats a character.
-SURE, SLACK = 0.5, 0.5
+SURE, SLACK = 0.5, 1.0
 PAD = 1
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean"
 _A = np.uint64(0x9E3779B97F4A7C15)
