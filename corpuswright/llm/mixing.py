@@ -85,7 +85,8 @@ def scheduled(docs: DataFrame, weights: dict[str, float] | None = None, block: i
 
     A lane may hold any part of all rows: its rows are ranked in streams of about STREAM by ranges of the hash, and
     the streams' sizes, summed up, give each stream its first rank. Lanes are as many as a period has slots at most, so
-    their table is broadcast. Null doc_ids rank by an empty id; rows with equal ids stand together.
+    their table is broadcast. Null doc_ids rank by an empty id; rows with equal ids stand together, in any
+    order.
     """
     columns_of(docs, ["doc_id", "source"], "mixing")
     lanes = _lanes(docs, weights, period)

@@ -183,7 +183,7 @@ def test_mixing_places_every_row(spark, weights, monkeypatch):
         lanes[x.m_lane].append(x)
     taken = defaultdict(set)
     for lane, held in lanes.items():
-        held.sort(key=lambda x: (int(hashlib.md5(("" if x.doc_id is None else str(x.doc_id)).encode()).hexdigest()[:8], 16), -1 if x.doc_id is None else x.doc_id))
+        held.sort(key=lambda x: (int(hashlib.md5(("" if x.doc_id is None else str(x.doc_id)).encode()).hexdigest()[:8], 16), -1 if x.doc_id is None else x.doc_id, x.m_block, x.m_place))
         for rank, x in enumerate(held):
             assert (x.m_block, x.m_place) == (rank // 8, rank % 8) and x.m_release <= x.m_slot < x.m_deadline
             taken[x.m_slot].add((lane, x.m_block))
