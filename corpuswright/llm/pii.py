@@ -195,8 +195,8 @@ def fit(spark: SparkSession) -> boosting.Trees:
     return _fitted[0]
 
 
-def spans(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, base and added, each an array of (kind, start, stop).
+def spans(docs: DataFrame, threshold: float = THRESHOLD, with_text: bool = False) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, base and added, each an array of (kind, start, stop); text if wanted.
 
     base has the matches of the BASE patterns that pass their checks, by kind as in KINDS and then by start. added has
     the candidates of the MORE generators with a calibrated probability of `threshold` or more that overlap no base
@@ -214,7 +214,8 @@ def spans(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rated = F.transform(_all_candidates(text), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["stop"].alias("stop"), model.column({n: c[n] for n in NAMES}).alias("p")))
     bar = float(np.log(threshold / (1 - threshold)))
     likely = F.filter(rated, lambda c: c["p"] >= bar)
-    seen = rows.select("doc_id", F.concat(*[named(k) for k in KINDS]).alias("base"), likely.alias("likely"))
+    kept = ["doc_id", *["text"] * with_text]
+    seen = rows.select(*kept, F.concat(*[named(k) for k in KINDS]).alias("base"), likely.alias("likely"))
 
     def meets(a: Column, b: Column) -> Column:
         return (a["start"] < b["stop"]) & (b["start"] < a["stop"])
@@ -225,7 +226,7 @@ def spans(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     free = F.filter("likely", lambda c: ~F.exists("base", lambda b: meets(b, c)))
     alone = seen.withColumn("likely", free)
     best = F.filter("likely", lambda c: ~F.exists("likely", lambda o: meets(o, c) & better(o, c)))
-    return alone.select("doc_id", "base", F.transform(best, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["stop"].alias("stop"))).alias("added"))
+    return alone.select(*kept, "base", F.transform(best, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["stop"].alias("stop"))).alias("added"))
 
 
 def _joined(found: Column) -> Column:
@@ -245,9 +246,6 @@ def digests(found: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and text with every span (see `spans`) replaced by <KIND>; where spans overlap, one mark covers them."""
-    held = spans(docs, threshold).withColumnRenamed("doc_id", "_id")
-    rows = docs.select("doc_id", text_of("text").alias("text"))
-    both = rows.join(held.dropDuplicates(["_id"]), rows["doc_id"].eqNullSafe(held["_id"]))
     ordered = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
 
     def step(so_far: Column, s: Column) -> Column:
@@ -256,4 +254,4 @@ def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return F.struct(F.greatest(so_far["at"], s["stop"]).alias("at"), F.when(again, so_far["out"]).otherwise(F.concat(so_far["out"], gap, F.lit("<"), F.upper(s["kind"]), F.lit(">"))).alias("out"))
 
     walked = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda x: F.concat(x["out"], F.substring(F.col("text"), x["at"] + 1, F.char_length("text"))))  # type: ignore[arg-type]
-    return both.select("doc_id", walked.alias("text"))
+    return spans(docs, threshold, with_text=True).select("doc_id", walked.alias("text"))
