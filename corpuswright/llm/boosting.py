@@ -1,12 +1,10 @@
-"""Small gradient-boosted trees for two classes: fitted in arrays, applied in arrays or as a Spark expression."""
+"""Small gradient-boosted trees for two classes: fitted in arrays, applied in arrays or as a Spark SQL expression."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 DEPTH, TREES, RATE, BINS = 3, 40, 0.3, 32
 
@@ -34,21 +32,19 @@ class Trees:
             out += leaf[node - (2**DEPTH - 1)]
         return self.shift + self.slope * out
 
-    def column(self, at: dict[str, Column]) -> Column:
-        """The same as a Spark expression over columns by feature name."""
+    def sql(self, prefix: str = "") -> str:
+        """The same as Spark SQL text over features by name, each after a prefix: parsed at once, however many trees."""
 
-        def branch(tree: int, node: int) -> Column:
+        def branch(tree: int, node: int) -> str:
             if node >= 2**DEPTH - 1:
-                return F.lit(float(self.leaves[tree][node - (2**DEPTH - 1)]))
+                return f"{float(self.leaves[tree][node - (2**DEPTH - 1)])!r}D"
             if not np.isfinite(self.thresholds[tree][node]):
                 return branch(tree, 2 * node + 1)
-            low = at[self.names[self.features[tree][node]]] <= F.lit(float(self.thresholds[tree][node]))
-            return F.when(low, branch(tree, 2 * node + 1)).otherwise(branch(tree, 2 * node + 2))
+            low = f"{prefix}{self.names[self.features[tree][node]]} <= {float(self.thresholds[tree][node])!r}D"
+            return f"IF({low}, {branch(tree, 2 * node + 1)}, {branch(tree, 2 * node + 2)})"
 
-        total = F.lit(self.base)
-        for tree in range(len(self.leaves)):
-            total = total + branch(tree, 0)
-        return F.lit(self.shift) + F.lit(self.slope) * total
+        total = " + ".join([f"{self.base!r}D", *(branch(t, 0) for t in range(len(self.leaves)))])
+        return f"({self.shift!r}D + {self.slope!r}D * ({total}))"
 
 
 def fit(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = TREES, rate: float = RATE) -> Trees:

@@ -211,11 +211,11 @@ def spans(docs: DataFrame, threshold: float = THRESHOLD, with_text: bool = False
         passed = F.filter(_found(text, BASE[kind], NEEDS[kind]), lambda s: _passes(kind, s["m"]))
         return F.transform(passed, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
 
-    rated = F.transform(_all_candidates(text), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["stop"].alias("stop"), model.column({n: c[n] for n in NAMES}).alias("p")))
+    rated = f"transform(proposed, c -> struct(c.kind AS kind, c.start AS start, c.stop AS stop, {model.sql('c.')} AS p))"
     bar = float(np.log(threshold / (1 - threshold)))
-    likely = F.filter(rated, lambda c: c["p"] >= bar)
     kept = ["doc_id", *["text"] * with_text]
-    seen = rows.select(*kept, F.concat(*[named(k) for k in KINDS]).alias("base"), likely.alias("likely"))
+    found = rows.select(*kept, F.concat(*[named(k) for k in KINDS]).alias("base"), _all_candidates(text).alias("proposed"))
+    seen = found.select(*kept, "base", F.filter(F.expr(rated), lambda c: c["p"] >= bar).alias("likely"))
 
     def meets(a: Column, b: Column) -> Column:
         return (a["start"] < b["stop"]) & (b["start"] < a["stop"])

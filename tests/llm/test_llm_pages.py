@@ -61,14 +61,14 @@ def test_pages_table(spark):
     assert H.main_text(df.limit(0)).count() == 0
 
 
-def test_boosting_learns_and_agrees_with_its_column(spark):
+def test_boosting_learns_and_agrees_with_its_sql(spark):
     r = np.random.default_rng(0)
     x = r.integers(0, 10, (600, 3)).astype(float)
     y = ((x[:, 0] > 4) ^ (x[:, 1] > 6)).astype(float)
     trees = boosting.calibrate(boosting.fit(x[:400], y[:400], ["a", "b", "c"]), x[400:], y[400:])
     assert ((trees.margins(x[400:]) > 0) == y[400:]).mean() > 0.95
     df = spark.createDataFrame(x[:50].tolist(), "a double, b double, c double")
-    got = [v[0] for v in df.select(trees.column({n: df[n] for n in "abc"})).collect()]
+    got = [v[0] for v in df.selectExpr(trees.sql()).collect()]
     assert np.allclose(got, trees.margins(x[:50]))
 
 
