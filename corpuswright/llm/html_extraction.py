@@ -15,9 +15,11 @@ from .common import columns_of, text_of
 from .dom import NAMES, Node, features, read
 
 #: Made pages that the trees are fitted on; one in four calibrates. Nothing of the input is learned from.
-PAGES = 600
+PAGES, TREES = 900, 80
 #: What an element pays, in log-odds, if its children part ways; evidence of one node counts up to LIMIT.
 PART, LIMIT = 1.0, 6.0
+#: The part of an element's evidence for main text that stands if its children part ways: most of it may still be.
+KEPT = 0.7
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 
@@ -54,7 +56,10 @@ class _Maker:
         if kind == 2:
             return self.el(r.choice(["div", "div", "section", "p", "aside"]), self.words(2, 60), r.choice(["ad", "ads", "advert", "banner-top", "sponsor", "promo-box"]), False)
         if kind == 3:
-            return self.el(r.choice(["aside", "div"]), self.el(r.choice(["h3", "h4"]), self.words(1, 4)) + r.choice([self.links(3, 8), f"<p>{self.words(5, 60)}</p>"]), r.choice(["sidebar", "related", "widget"]), False)
+            tag = r.choice(["aside", "div"])
+            title = self.el(r.choice(["h3", "h4"]), self.words(1, 4)) if r.random() < 0.6 else ""
+            body = r.choice([self.links(3, 8), f"<p>{self.words(5, 60)}</p>", self.words(3, 60), f"<p>{self.words(20, 120)}</p>" * 2])
+            return self.el(tag, title + body, r.choice(["sidebar", "related", "widget", *[None] * (tag == "aside")]), False)
         if kind == 4:
             return self.el(r.choice(["div", "section", "p"]), self.words(4, 50) + r.choice(["", "<button>OK</button>"]), r.choice(["cookie-notice", "consent", "notice", "alert", "gdpr"]), False)
         if kind == 5:
@@ -75,9 +80,9 @@ class _Maker:
                 body = body.replace(" ", " <a href='/y'>link</a> ", 1)
             form = r.random()
             parts.append(f"<p><b>{body}<br>" if form < 0.1 else f"<p>{body}</p>" if form < 0.8 else f"<ul><li>{body}</li><li>{self.words(3, 20)}</li></ul>" if form < 0.87 else f"<blockquote>{body}</blockquote>" if form < 0.93 else f"<h2>{self.words(1, 6)}</h2>")
-        if r.random() < 0.2:
+        if len(parts) > 3 and r.random() < 0.5:
             parts.insert(r.randrange(len(parts) + 1), self.boiler())
-        tag, name = r.choice([("article", None), ("article", None), ("article", "post"), ("main", None), ("div", "content"), ("div", "article-body"), ("div", "post"), ("section", "entry"), ("div", "main")])
+        tag, name = r.choice([("article", None), ("article", None), ("article", "post"), ("main", None), ("div", "content"), ("div", "article-body"), ("div", "post"), ("section", "entry"), ("div", "main"), ("div", None), ("div", "x1")])
         inner = self.el(tag, "".join(parts), name, True)
         for _ in range(r.choice([0, 0, 1])):
             inner = self.el(r.choice(["div", "main", "section"]), inner + (self.boiler() if r.random() < 0.3 else ""), r.choice([None, "wrap", "container", "page"]))
@@ -105,7 +110,7 @@ def fit(pages: int = PAGES, seed: int = 1) -> boosting.Trees:
                 y.append(2 * good > node.chars)
                 aside.append(k % 4 == 0)
     x, y, aside = np.array(x), np.array(y, float), np.array(aside)
-    return boosting.calibrate(boosting.fit(x[~aside], y[~aside], NAMES), x[aside], y[aside])
+    return boosting.calibrate(boosting.fit(x[~aside], y[~aside], NAMES, trees=TREES), x[aside], y[aside])
 
 
 def decode(nodes: list[Node], margins: list[float]) -> list[bool]:
@@ -113,7 +118,7 @@ def decode(nodes: list[Node], margins: list[float]) -> list[bool]:
 
     An element is all in, all out, or parted, and below one that is in (out) everything is in (out). In and out score the
     evidence of the whole subtree for and against; parted scores the best of each child and of the element's own text,
-    less PART. So a short paragraph isn't torn from its article, nor an advert's sentence kept without the advert.
+    less PART, and KEPT of the element's evidence for. So a short paragraph isn't torn from its article, nor an advert's sentence kept without the advert.
     """
     n = len(nodes)
     held = [max(-LIMIT, min(LIMIT, m)) if node.chars else 0.0 for node, m in zip(nodes, margins, strict=True)]
@@ -122,7 +127,8 @@ def decode(nodes: list[Node], margins: list[float]) -> list[bool]:
         total[nodes[i].parent] += total[i]
     best, parted = [0.0] * n, [False] * n
     for i in range(n - 1, -1, -1):
-        apart = sum(best[c] for c in nodes[i].children) + (abs(held[i]) if nodes[i].own else 0.0) - PART
+        several = sum(nodes[c].chars > 0 for c in nodes[i].children) + (nodes[i].own > 0) > 1
+        apart = sum(best[c] for c in nodes[i].children) + (abs(held[i]) if nodes[i].own else KEPT * max(held[i], 0.0)) - PART * several
         parted[i] = bool(nodes[i].children) and apart > abs(total[i])
         best[i] = max(apart, abs(total[i])) if nodes[i].children else abs(total[i])
     out: list[bool | None] = [None] * n
