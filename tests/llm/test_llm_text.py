@@ -217,3 +217,13 @@ def test_token_counts_equal_plain_dynamic_programming(spark):
         assert "".join(parts) == (t or "")
         assert (found[i].n_tokens, found[i].n_pretokens, found[i].n_bytes) == (sum(brute(p.encode()) for p in parts), len(parts), len((t or "").encode()))
     assert found[None].n_tokens == 1 and T.token_counts(df.limit(0)).count() == 0
+
+
+def test_mixing_gives_every_source_its_own_lane(spark):
+    df = spark.createDataFrame([(i, f"s{i % 1500}" if i % 40 else None) for i in range(6000)], "doc_id long, source string")
+    wanted = df.select("source").distinct().count()
+    found = M.scheduled(df, block=2).collect()
+    assert len({r.lane for r in found}) == wanted > M.PERIOD
+    assert len({(r.source, r.lane) for r in found}) == wanted and len({(r.lane, r.block) for r in found}) == len({r.slot for r in found})
+    assert all(r.release <= r.slot < r.deadline for r in found)
+    assert {r.lane for r in M.scheduled(df, {f"s{i}": i + 1.0 for i in range(1500)}, block=2).collect()} == {r.lane for r in found}
