@@ -227,3 +227,20 @@ def test_mixing_gives_every_source_its_own_lane(spark):
     assert len({(r.source, r.lane) for r in found}) == wanted and len({(r.lane, r.block) for r in found}) == len({r.slot for r in found})
     assert all(r.release <= r.slot < r.deadline for r in found)
     assert {r.lane for r in M.scheduled(df, {f"s{i}": i + 1.0 for i in range(1500)}, block=2).collect()} == {r.lane for r in found}
+
+
+@pytest.mark.parametrize("weights", [[0.9999, 0.0001], [0.7, 0.2, 0.0999, 0.0001], [math.sqrt(n) for n in range(1, 1200)], [math.pi, math.e, 1e-3]])
+def test_mixing_keeps_to_the_given_weights_over_many_periods(weights):
+    steps = 100 * M.PERIOD
+    total = math.fsum(weights)
+    done = [0] * len(weights)
+    for t, lane, block, release, deadline in M.schedule(M.whole(weights), [steps] * len(weights)):
+        if t == steps:
+            break
+        assert block == done[lane] and abs(block - weights[lane] / total * t) < 1 + 1e-6  # just before its turn
+        assert release <= t < deadline
+        done[lane] += 1
+        assert abs(done[lane] - weights[lane] / total * (t + 1)) < 1 + 1e-6
+        if t % 997 == 0:
+            assert all(abs(n - w / total * (t + 1)) < 1 + 1e-6 for n, w in zip(done, weights, strict=True))
+    assert sum(done) == steps
