@@ -53,6 +53,20 @@ def masked_accuracy(spark, d):
     return M.masked_accuracy(rows).select("doc_id", "counted", "correct", F.round("accuracy", 6).alias("accuracy"))
 
 
+@query("""
+    WITH z AS (SELECT doc_id, string_split(text, '') AS c FROM documents),
+         x AS (SELECT doc_id, unnest(range(len(c))) AS i, unnest(c) AS c FROM z WHERE len(c) > 0 AND c[1] <> ''),
+         y AS (SELECT doc_id, CASE WHEN i % 5 = 0 THEN -100 ELSE unicode(c) END AS y, CASE WHEN i % 3 = 0 THEN 0 ELSE unicode(c) END AS p FROM x)
+    SELECT doc_id, count(*) FILTER (y <> -100) AS counted, count(*) FILTER (y <> -100 AND y = p) AS correct,
+           round(count(*) FILTER (y <> -100 AND y = p) / nullif(count(*) FILTER (y <> -100), 0), 6) AS accuracy
+    FROM y GROUP BY doc_id""")
+def masked_accuracy_whole(spark, d):
+    """As `masked_accuracy`, over all characters of each text."""
+    rows = read(spark, d, "documents").where(F.char_length("text") > 0).withColumn("_c", F.transform(F.split("text", ""), lambda x: F.ascii(x)))
+    rows = rows.select("doc_id", F.transform("_c", lambda x, i: F.when(i % 5 == 0, -100).otherwise(x)).alias("y"), F.transform("_c", lambda x, i: F.when(i % 3 == 0, 0).otherwise(x)).alias("predicted"))
+    return M.masked_accuracy(rows).select("doc_id", "counted", "correct", F.round("accuracy", 6).alias("accuracy"))
+
+
 def _lr(top: str, least: str, s: str) -> str:
     return f"CASE WHEN {s} < 100 THEN {top} * ({s} + 1) / 100 WHEN {s} >= 250000 THEN {least} ELSE {least} + 0.5 * (1 + cos(pi() * ({s} - 100) / 249900)) * ({top} - {least}) END"
 

@@ -250,3 +250,18 @@ def test_prompt_is_the_end_of_the_last_chunk(spark):
     rows = frame(spark, [(1, "first"), (2, "\n".join("abcdefghij"))], "ordinal long, text string").withColumn("tokens", t.tokenize(F.col("text")))
     row = B.prompt(B.chunks(rows, 64, ("ordinal",)), t, block=36, room=32).first()
     assert row.text == "\n".join("efghij") and bytes(row.ids).decode() == "\n".join("ij")[-4:].rjust(4, "\n")
+
+
+def test_masked_accuracy_reads_whole_texts(spark, tmp_path):
+    from corpuswright.plans.metric_queries import masked_accuracy_whole
+
+    texts = ["", None, "a", "é日😀\n" * 3000, "x" * 33, "\0b" * 40, "words and more " * 20_000]
+    frame(spark, list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: (r.counted, r.correct, r.accuracy) for r in masked_accuracy_whole(spark, str(tmp_path)).collect()}
+    wanted = {}
+    for i, text in enumerate(texts):
+        y = [(-100 if k % 5 == 0 else ord(c), 0 if k % 3 == 0 else ord(c)) for k, c in enumerate(text or "")]
+        kept = [a == b for a, b in y if a != -100]
+        if text:
+            wanted[i] = (len(kept), sum(kept), round(sum(kept) / len(kept), 6) if kept else None)
+    assert found == wanted and found[6][0] == 240_000
