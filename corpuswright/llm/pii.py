@@ -29,7 +29,25 @@ MORE = {
     "card": r"(?<![0-9A-Za-z.])[0-9]{4}+(?:[\x20.-]?[0-9]{2,7}+){2,4}+(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z.,+/_-])(?:\(?[0-9]{2,5}+(?:[\x20)(./-]{1,2}+[0-9]{2,5}+){1,4}+|0[0-9]{8,11}+)(?![0-9A-Za-z])",
 }
-MORE_NEEDS = {"email": r"(?i)[\[({]at[\])}]", "ip": "[0-9A-Fa-f]:[0-9A-Fa-f]", "card": "[0-9]{4}", "phone": "[0-9]{2}"}
+# Further ones, each searched by itself so that none takes characters from another: shortened and sentence-ending IPv6;
+# numbers with a group of six or more digits after an area code, after several groups, or first; numbers right after a
+# word's full stop.
+_HEX, _PART = "[0-9A-Fa-f]{1,4}+", r"[\x20)(./-]{1,2}+"
+_AHEAD, _BEHIND = r"(?<![0-9A-Za-z,+/_-])(?<![^\p{L}]\.)\(?", r"(?:-[0-9]{1,5}+)?+(?![0-9A-Za-z])"
+FURTHER = {
+    "ip": (
+        rf"(?<![0-9A-Za-z:.])(?=:*+[0-9A-Fa-f])(?=(?:[0-9A-Fa-f]{{0,4}}+:){{2,8}}+)(?:(?:{_HEX}:){{7}}+{_HEX}|(?:{_HEX}(?::{_HEX}){{0,6}}+)?+::(?:{_HEX}(?::{_HEX}){{0,6}}+)?+)(?![0-9A-Za-z:]|\.[0-9])",
+    ),
+    "phone": (
+        rf"{_AHEAD}[0-9]{{2,5}}+{_PART}[0-9]{{6,10}}+{_BEHIND}",
+        rf"{_AHEAD}[0-9]{{2,5}}+(?:{_PART}[0-9]{{2,5}}+(?![0-9])){{1,3}}+{_PART}[0-9]{{6,10}}+{_BEHIND}",
+        rf"{_AHEAD}0[0-9]{{5,9}}+(?:{_PART}[0-9]{{2,5}}+(?![0-9])){{1,3}}+(?![0-9A-Za-z])",
+        MORE["phone"].replace("(?<![0-9A-Za-z.,+/_-])", r"(?<=\p{L}\.)", 1),
+    ),
+}
+#: The most colons of an address.
+COLONS = 8
+MORE_NEEDS = {"email": r"(?i)[\[({]at[\])}]", "ip": "[0-9A-Fa-f]::?[0-9A-Fa-f]|::[0-9A-Fa-f]|[0-9A-Fa-f]::", "card": "[0-9]{4}", "phone": "[0-9]{2}"}
 DIGITS = {"email": (0, 10**6), "ip": (0, 40), "card": (13, 19), "phone": (7, 15)}
 #: A candidate is redacted from this calibrated probability on.
 THRESHOLD = 0.9
@@ -41,7 +59,7 @@ CUES = {
     "cue_mail": r"(?:mail|contact|write|reach|address)[^\n]{0,12}$",
     "cue_other": r"(?:order|invoice|isbn|issn|version|ver|ref|serial|sku|ticket|track|page|pages|pp|date|year|lines?|no|nr|id|sum|total|rev|build|code|doi|score|table)[^a-z\n]{0,6}$",
 }
-NAMES = [*(f"is_{k}" for k in KINDS), "chars", "digits", "groups", "paren", "dots", "dashes", "spaces", "slashes", "zero", "luhn", "year", *CUES, "left_letter", "right_letter"]
+NAMES = [*(f"is_{k}" for k in KINDS), "chars", "digits", "groups", "paren", "dots", "dashes", "spaces", "slashes", "colons", "zero", "luhn", "year", *CUES, "left_letter", "right_letter"]
 SPAN = "array<struct<start:int,stop:int,m:string>>"
 #: Made texts that the trees are fitted on.
 MADE = 1600
@@ -116,6 +134,7 @@ def _features(text: Column, kind: str, span: Column) -> dict[str, Column]:
         "dashes": count("-"),
         "spaces": count(" "),
         "slashes": count("/"),
+        "colons": count(":"),
         "zero": flag(digits.startswith("0")),
         "luhn": flag(luhn(digits)) if kind == "card" else F.lit(0),
         "year": flag(m.rlike(r"(?<![0-9])(?:19|20)[0-9]{2}(?![0-9])")),
@@ -127,7 +146,10 @@ def _features(text: Column, kind: str, span: Column) -> dict[str, Column]:
 
 def _candidates(text: Column, kind: str) -> Column:
     low, high = DIGITS[kind]
-    spans = F.filter(_found(text, MORE[kind], MORE_NEEDS[kind]), lambda s: F.char_length(_digits(s["m"])).between(low, high))
+    found = F.array_distinct(F.concat(*[_found(text, p, MORE_NEEDS[kind]) for p in (MORE[kind], *FURTHER.get(kind, ()))]))
+    colons = lambda m: F.char_length(m) - F.char_length(F.translate(m, ":", ""))
+    fits = lambda m: F.char_length(_digits(m)).between(low, high) & ((colons(m) <= COLONS) if kind == "ip" else F.lit(True))
+    spans = F.filter(found, lambda s: fits(s["m"]))
     made = lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), *[c.cast("int").alias(n) for n, c in _features(text, kind, s).items()])
     return F.transform(spans, made)
 
@@ -149,7 +171,7 @@ def _made(seed: int = 3, n: int = MADE) -> list[tuple[int, str]]:
 
     out = []
     for _ in range(n):
-        kind = r.randrange(12)
+        kind = r.randrange(18)
         if kind < 3:
             number = r.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"0{d(3)} {d(3)} {d(4)}", f"0{d(2)}/{d(7)}"[:14], f"0{d(9)}"])
             cue = r.choice(["tel", "phone", "call", "mobile", "call me at", "Tel", "fax", "cell"]) + r.choice([": ", " ", "."]) + r.choice(["", " "])
@@ -170,8 +192,23 @@ def _made(seed: int = 3, n: int = MADE) -> list[tuple[int, str]]:
             out.append((0, f"{words(1, 5)} {d(2)}.{d(3)}.{d(3)} {words(1, 4)}"))
         elif kind == 10:
             out.append((0, f"{words(1, 5)} {d(4)}{r.choice(['', ' ', '-'])}{d(4)}{r.choice(['', ' ', '-'])}{d(4)}{d(r.randint(2, 5))} {words(1, 4)}"))
-        else:
+        elif kind == 11:
             out.append((0, f"{words(1, 5)} {d(3)}-{d(4)} {words(1, 4)}"))
+        elif kind in (12, 16):
+            number = r.choice([f"0{d(2)}/{d(7)}", f"0{d(3)} {d(7)}", f"0{d(2)} {d(8)}", f"(0{d(2)}) {d(7)}", f"0{d(3)}-{d(6)}", f"0{d(2)} {d(3)} {d(6)}", f"0{d(5)} {d(4)}"])
+            cue = "" if kind == 16 else r.choice(["", r.choice(["tel", "phone", "call", "mobile", "Tel", "fax", "kontakt", "call me at"]) + r.choice([": ", " ", ". "])])
+            lead = r.choice(["", words(1, 6) + r.choice([" ", ", ", ": ", " ("])]) if kind == 16 else words(1, 6) + " "
+            out.append((1, f"{lead}{cue}{number}{r.choice([' ', '. ', ', '])}{words(1, 5)}"))
+        elif kind == 13:
+            number = r.choice([f"{d(r.randint(2, 5))}{r.choice(' -/.')}{d(r.randint(6, 10))}", f"0{d(2)}/{d(7)}", f"{d(3)} {d(2)} {d(7)}", f"0{d(6)}-{d(4)}"])
+            lead = r.choice(["order", "invoice", "ref", "isbn", "serial", "ticket", "no", "id", "build", "code"]) + r.choice([" ", ": ", ". ", " #"])
+            out.append((0, f"{words(1, 5)} {lead}{number} {words(1, 4)}"))
+        elif kind in (14, 17):
+            part = lambda most: ":".join(f"{r.randrange(1 << 16):x}" for _ in range(r.randint(1, most)))
+            out.append((1, f"{words(1, 5)} {r.choice([f'fe80::{part(4)}', f'2001:db8::{part(4)}', f'2a0{d(1)}:{part(2)}::{d(1)}', f'::{part(3)}:{d(1)}', f'2001:{part(2)}::', f'fe80::{d(1)}'])}{r.choice([' ', '. ', ', '])}{words(1, 4)}"))
+        else:
+            name = lambda: r.choice("add bad face dead feed cafe fade ace bed dad a b c d e f ab cd".split())
+            out.append((0, f"{words(1, 5)} {r.choice([f'{name()}::{name()}', f'::{name()}', f'{name()}::'])} {words(1, 4)}"))
     return out
 
 

@@ -244,3 +244,15 @@ def test_mixing_keeps_to_the_given_weights_over_many_periods(weights):
         if t % 997 == 0:
             assert all(abs(n - w / total * (t + 1)) < 1 + 1e-6 for n, w in zip(done, weights, strict=True))
     assert sum(done) == steps
+
+
+def test_every_made_positive_has_a_candidate_and_long_groups_are_found(spark):
+    from pyspark.sql import functions as F
+
+    made = [text for y, text in pii._made() if y]
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    assert df.where(F.size(pii._all_candidates(F.col("text"))) == 0).count() == 0
+    texts = ["Praxis 089/1234567 Bonn", "0170 1234567", "tel: 030 12345678", "ping fe80::1 now", "2001:db8::1.", "std::add a::b", "order 089/1234567", "at 12:30:45"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.digests(pii.spans(df)).collect()}
+    assert found == {0: "phone:7:18", 1: "phone:0:12", 2: "phone:5:17", 3: "ip:5:12", 4: "ip:0:11", 5: "", 6: "", 7: ""}
