@@ -12,7 +12,7 @@ BLOCKS = frozenset(
     " legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|title|iframe|svg|math|object|canvas|noembed|noframes|xmp"
+RAW = "script|style|noscript|template|title|iframe|svg|canvas|noembed|noframes|xmp"
 CLOSED_BY = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 SCOPES = frozenset("ul ol dl table select body html menu".split())
 #: Elements whose start ends an open paragraph.
@@ -23,6 +23,8 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
+#: The start and end of an xmp element, whose content is text as it stands.
+_XMP = re.compile(r"\A<xmp(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:>|\Z)|</xmp\s*+>\Z", re.I)
 _ATTRIBUTE = re.compile(r"(class|id|role|data-main)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _PART = re.compile(r"[a-z]+")
 
@@ -75,7 +77,8 @@ def read(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """The block elements, the first of which is the root, and the text runs in page order with their element.
 
     A run ends wherever a block begins or ends; inline elements add to it and br parts its words. Character references
-    are decoded and white space is one space. Scripts, styles, comments, the head's title and the like are no text.
+    are decoded and white space is one space. Scripts, styles, comments, the head's title and the like are no text;
+    formulas and an object's fallback are, and an xmp element's content as it stands.
     """
     none: frozenset = frozenset()
     nodes = [Node("#root", -1, 0, none, none)]
@@ -111,6 +114,9 @@ def read(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if links:
                 linked += len(piece.strip())
         at = m.end()
+        if m[1] and m[1].lower() == "xmp":
+            held.append(f" {_XMP.sub('', m[0]).replace('&', '&amp;')} ")
+            continue
         if m[3] is None and m[6] is None:
             continue
         end, tag, rest = (m[2], m[3], m[4]) if m[3] is not None else (m[5], m[6], m[7])

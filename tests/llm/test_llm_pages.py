@@ -106,3 +106,9 @@ def test_warc_table(spark, tmp_path):
     files = warc.export(archives, str(tmp_path)).collect()
     assert sum(f.bytes for f in files) == sum(p.stat().st_size for p in tmp_path.glob("*.warc.zst"))
     assert warc.records(warc.bundles(df.limit(0))).count() == 0
+
+
+def test_formulas_fallbacks_and_xmp_stay(model):
+    page = f"<article><p>{TEXT} Then <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.<object data=a.swf><param name=b>No player.</object><xmp class='c>'><b>bold</b> &amp; so</xmp><script>no</script></p></article>"
+    assert H.extract([page], model)[0] == f"{TEXT}Then x=2 holds.No player. <b>bold</b> &amp; so".replace("  ", " ")
+    assert "end" in H.extract([f"<article><p>{TEXT}</p><xmp>end"], model)[0]
