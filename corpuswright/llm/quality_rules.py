@@ -11,10 +11,10 @@ from .common import SALTS, columns_of, salt_of, salted, table, text_of
 SPACE = "[\\x20\\x09-\\x0D]+"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A host goes if its shrunken failure rate is above this.
+#: A host goes if its failure rate is above this, by the lower end of its posterior.
 HOST_RATE = 0.5
-#: Below this many rows no verdict on a host is given.
-HOST_ROWS = 20
+#: The lower end is so many standard deviations below the posterior mean: about the 5 % quantile.
+HOST_SURE = 1.645
 
 
 def _let(value: Column, use) -> Column:
@@ -97,12 +97,13 @@ def _prior(n: float | None, k: float | None, kk: float | None, nn: float | None,
     return mean, min(1000.0, max(1.0, within / max(spread, 1e-9) - 1))
 
 
-def host_verdicts(measured: DataFrame, rate: float = HOST_RATE, least: int = HOST_ROWS) -> DataFrame:
+def host_verdicts(measured: DataFrame, rate: float = HOST_RATE, sure: float = HOST_SURE) -> DataFrame:
     """source, host_rows, host_failed, host_rate, host_ok: failures by host, shrunk with an empirical beta prior.
 
     The prior's mean is the corpus-wide failure rate; its strength comes from the spread of the host rates beyond
     what binomial sampling alone gives (method of moments, hosts weighted by rows). A host with few rows keeps close
-    to the mean; one with many speaks for itself. Hosts with fewer than `least` rows always pass.
+    to the mean; one with many speaks for itself. A host of any size passes unless its posterior mean, host_rate, less
+    `sure` of the posterior's standard deviations is above `rate`, so few rows need a clearer rate than many.
     """
     hosts = measured.groupBy("source").agg(
         F.count(F.lit(1)).alias("host_rows"), F.sum(F.col("base_failed").cast("long")).alias("host_failed")
@@ -114,7 +115,8 @@ def host_verdicts(measured: DataFrame, rate: float = HOST_RATE, least: int = HOS
     seen = total.first()
     mean, strength = _prior(seen["n"], seen["k"], seen["kk"], seen["nn"], seen["hosts"])
     posterior = (F.col("host_failed") + F.lit(mean * strength)) / (F.col("host_rows") + F.lit(strength))
-    ok = ~((F.col("host_rows") >= least) & (F.col("host_rate") > rate))
+    spread = F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / (F.col("host_rows") + F.lit(strength + 1)))
+    ok = F.col("host_rate") - sure * spread <= rate
     return hosts.withColumn("host_rate", posterior).withColumn("host_ok", ok)
 
 

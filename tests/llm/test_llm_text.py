@@ -256,3 +256,10 @@ def test_every_made_positive_has_a_candidate_and_long_groups_are_found(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r.doc_id: r.spans for r in pii.digests(pii.spans(df)).collect()}
     assert found == {0: "phone:7:18", 1: "phone:0:12", 2: "phone:5:17", 3: "ip:5:12", 4: "ip:0:11", 5: "", 6: "", 7: ""}
+
+
+def test_small_hosts_are_judged_too(spark):
+    rows = [("small", i < 17) for i in range(19)] + [("twenty", i < 18) for i in range(20)] + [("one", True)] + [(f"h{i % 30}", i // 30 % 10 == 0) for i in range(900)]
+    found = {r.source: r for r in Q.host_verdicts(spark.createDataFrame(rows, "source string, base_failed boolean")).collect()}
+    assert found["small"].host_rate > 0.5 and not found["small"].host_ok and not found["twenty"].host_ok
+    assert found["one"].host_ok and all(r.host_ok for s, r in found.items() if s.startswith("h"))
