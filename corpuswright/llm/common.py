@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Salts that a look-up by a possibly hot key is dealt over.
 SALTS = 16
-_made: list[tuple[SparkSession, str]] = []
+#: A key with more than one in so many of the rows that are looked up is hot; so there are fewer hot keys than this.
+HOT = 1000
+_made: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,16 +34,23 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpuswright/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _made[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_made_at"] = path
+    return out
 
 
-def remove(path_of: DataFrame) -> None:
-    """Removes the table that `table` returned, when nothing reads it any more."""
-    names = {f.rsplit("/", 1)[0] for f in path_of.inputFiles()}
-    for spark, path in [x for x in _made if any(n.endswith(x[1].split("/")[-1]) for n in names)]:
-        _delete(spark, path)
-        _made.remove((spark, path))
+def remove(*tables: DataFrame | None) -> None:
+    """Removes tables that `table` returned, when nothing reads them any more."""
+    for path in [t.__dict__.get("_made_at") for t in tables if t is not None]:
+        if path in _made:
+            _delete(_made.pop(path), path)
+
+
+def view(df: DataFrame, of: DataFrame) -> DataFrame:
+    """df, known to `remove` as the table `of` that it is selected from."""
+    df.__dict__["_made_at"] = of.__dict__.get("_made_at")
+    return df
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -52,7 +61,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _tidy() -> None:
-    for spark, path in _made:
+    for path, spark in _made.items():
         try:
             _delete(spark, path)
         except Exception:  # the JVM may have gone before
@@ -79,6 +88,22 @@ def salt_of(*columns: Column, n: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
 
 
+def looked_up(rows: DataFrame, told: DataFrame, on: list[str], weight: str, spread: Column) -> DataFrame:
+    """rows left-joined with told, a table with one row for each key `on`, whose column `weight` says how many rows have it.
+
+    Hot keys, of which there are fewer than HOT by their weights, are broadcast, and their rows are spread by `spread` in
+    the shuffled join with the others, of which none has more than one in HOT of the weight. Keys aren't null.
+    """
+    least = (told.agg(F.sum(weight)).first()[0] or 0) / HOT
+    values = [c for c in told.columns if c not in on]
+    hot = told.where(F.col(weight) > least).select(*on, F.struct(*values).alias("_hot"))
+    cold = told.where(F.col(weight) <= least).select(*on, F.lit(0).cast("long").alias("_spread"), F.struct(*values).alias("_cold"))
+    found = rows.join(F.broadcast(hot), on, "left")
+    found = found.withColumn("_spread", F.when(F.col("_hot").isNotNull(), F.xxhash64(spread).bitwiseOR(F.lit(1))).otherwise(F.lit(0)))
+    found = found.join(cold, [*on, "_spread"], "left")
+    return found.select(*rows.columns, *[F.coalesce(f"_hot.{c}", f"_cold.{c}").alias(c) for c in values])
+
+
 def columns_of(df: DataFrame, wanted: list[str], who: str) -> DataFrame:
     """The wanted columns of df; a clear error if one is missing."""
     if missing := [c for c in wanted if c not in df.columns]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import remove, table, view
 
 
 def _roots(parents: DataFrame) -> DataFrame:
@@ -13,16 +13,17 @@ def _roots(parents: DataFrame) -> DataFrame:
     held = table(parents.select("node", F.col("parent").alias("root")), "roots")
     while True:
         up = held.select(F.col("node").alias("root"), F.col("root").alias("_up"))
-        held = table(held.join(up, "root").select("node", F.col("_up").alias("root"), (F.col("_up") != F.col("root")).alias("_moved")), "roots")
-        if not held.where("_moved").head(1):
-            return held.select("node", "root")
-        held = held.select("node", "root")
+        more = table(held.join(up, "root").select("node", F.col("_up").alias("root"), (F.col("_up") != F.col("root")).alias("_moved")), "roots")
+        remove(held)
+        held = view(more.select("node", "root"), more)
+        if not more.where("_moved").head(1):
+            return held
 
 
 def merge(labels: DataFrame | None, edges: DataFrame) -> DataFrame | None:
     """labels (node, root: the smallest node of its component; nodes without links may be absent) after more edges (a, b).
 
-    Each round every node joins its smallest neighbour, chains are followed to their ends, and the edges move to the ends;
+    The tables edges and labels are removed. Each round every node joins its smallest neighbour, chains are followed to their ends, and the edges move to the ends;
     a component at least halves in each round. Hubs are aggregated before the shuffle or meet in joins only, which Spark
     splits where one key is large. Every step is a table in the shared folder.
     """
@@ -35,6 +36,7 @@ def merge(labels: DataFrame | None, edges: DataFrame) -> DataFrame | None:
 
     links = edges.select("a", "b")
     links = table(move(links, labels) if labels is not None else links.where("a <> b").distinct(), "links")
+    remove(edges)
     while links.head(1):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_least"))
@@ -45,6 +47,10 @@ def merge(labels: DataFrame | None, edges: DataFrame) -> DataFrame | None:
             to = roots.select(F.col("node").alias("root"), F.col("root").alias("_to"))
             moved = labels.join(to, "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
             new = roots.join(labels.select("node"), "node", "left_anti")
-            labels = table(moved.unionByName(new), "labels")
-        links = table(move(links, roots), "links")
+            before, labels = labels, table(moved.unionByName(new), "labels")
+            remove(before)
+        left = table(move(links, roots), "links")
+        remove(links, None if labels is roots else roots)
+        links = left
+    remove(links)
     return labels

@@ -65,9 +65,7 @@ def corpus(seed=4, groups=25):
 @pytest.mark.parametrize("k", [4, 5])
 def test_shingle_sets_equal_brute_force(k):
     texts = [t or "" for t in corpus()]
-    body = "".join(texts).encode()
-    ends = np.cumsum([0, *[len(t.encode()) for t in texts]])
-    hashes, at = shingles.sets(np.frombuffer(body, np.uint8), ends, k)
+    hashes, at = shingles.sets([t.encode() for t in texts], k)
     names = {}
     for i, t in enumerate(texts):
         wanted = brute_set(t, k)
@@ -77,6 +75,57 @@ def test_shingle_sets_equal_brute_force(k):
     assert len(names) == len(set(names.values()))
 
 
+def thue_morse(n, swap=False):
+    """Two words of 2^n letters of which polynomial hashes modulo a power of two are equal for every odd base."""
+    return "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(2**n))
+
+
+def test_words_that_collide_under_polynomials_are_told_apart(spark):
+    one, two = thue_morse(10), thue_morse(10, True)
+    texts = [one, two, f"{one} b c d e f g h", f"{two} b c d e f g h", one.upper(), "a\tb c d e", "b a c d e"]
+    found = {r.doc_id: r.component_id for r in N.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4, 80).collect()}
+    assert found == {0: 0, 1: 1, 2: 2, 3: 3, 4: 0, 5: 5, 6: 6}
+
+
+@pytest.mark.parametrize("segment", [1, 7, 64])
+def test_long_texts_are_cut_between_words(segment, monkeypatch):
+    r = random.Random(segment)
+    texts = ["".join(r.choice("aB \n\té" + "c" * 9) for _ in range(r.randint(0, 400))).encode() for _ in range(60)] + [b" " * 300, b"x" * 300]
+    wanted = [shingles.word_hashes(t).tolist() for t in texts]
+    monkeypatch.setattr(shingles, "SEGMENT", segment)
+    assert [b"".join(shingles._segments(t)) for t in texts] == texts
+    assert [shingles.word_hashes(t).tolist() for t in texts] == wanted
+
+
+def test_names_tell_sets(spark):
+    texts = [t.encode() for t in ("a b c d", "A b  c\nd", "a b c d a b c d", "d a b c d a b c d a", "x", "", " ")]
+    hashes, at = shingles.sets(texts, 4)
+    found = shingles.names(texts, hashes, at, 4)
+    assert found[0] == found[1] and found[2] == found[3] and found[5] == found[6] and len(set(found)) == 4
+
+
+@pytest.mark.parametrize(("block", "held"), [(3, 1 << 20), (1000, 2000)])
+def test_buckets_of_unlike_members_and_large_groups(spark, block, held, monkeypatch):
+    """Texts that share one long passage and little else, near copies of one text at all distances, and their copies."""
+    monkeypatch.setattr(N, "SMALL", 4)
+    monkeypatch.setattr(N, "BLOCK", block)
+    monkeypatch.setattr(N, "BYTES", held)
+    r = random.Random(5)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    passage, base, texts = words(30), words(60), []
+    for _ in range(60):
+        texts.append(" ".join(passage + words(r.choice([2, 5, 9, 20]))))
+    for _ in range(140):
+        copy = list(base)
+        for _ in range(r.randrange(7)):
+            copy[r.randrange(60)] = f"v{r.randrange(10**6)}"
+        texts += [" ".join(copy)] * r.choice([1, 1, 3])
+    rows = list(enumerate(texts))
+    r.shuffle(rows)
+    found = {x.doc_id: x.component_id for x in N.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()}
+    assert found == brute_components(rows, 4)[0]
+
+
 def brute_components(rows, k):
     sets = {i: brute_set(t, k) for i, t in rows}
     parent = {i: i for i, _ in rows}
