@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,8 +18,6 @@ DECODED = T.StructType(
 
 def encoded(category: int, tokens) -> bytes:
     """One record. Ids beyond 65535, categories beyond 255 and bodies beyond MAX_RECORD are errors, not wrapped."""
-    import numpy as np
-
     ids = np.asarray(tokens)
     if len(ids) and (ids.min() < 0 or ids.max() > 0xFFFF):
         raise ValueError(f"token id {ids.min() if ids.min() < 0 else ids.max()} needs more than two bytes")
@@ -38,29 +37,38 @@ def encode_record(category, tokens):
     return pa.array(out, pa.binary())
 
 
-def decoded(body: bytes | None) -> dict:
-    """The record at the beginning of body, or what is wrong with it; bytes after it are ignored."""
-    fail = lambda why: {"category_id": None, "token_count": None, "tokens": None, "error": why}
+def _read(body: bytes | None) -> tuple[int | None, np.ndarray | None, str | None]:
+    """Category and tokens of the record at the beginning of body, or what is wrong with it; bytes after it are ignored."""
     if body is None:
-        return fail("no record")
+        return None, None, "no record"
     if len(body) < 9:
-        return fail("short header")
+        return None, None, "short header"
     size, category = struct.unpack_from("<QB", body)
     if not 1 <= size <= MAX_RECORD:
-        return fail("bad size")
+        return None, None, "bad size"
     if len(body) < 8 + size:
-        return fail("truncated")
-    n = (size - 1) // 2
-    return {"category_id": category, "token_count": n, "tokens": list(struct.unpack_from(f"<{n}H", body, 9)), "error": None}
+        return None, None, "truncated"
+    return category, np.frombuffer(body, "<u2", (size - 1) // 2, 9), None
+
+
+def decoded(body: bytes | None) -> dict:
+    """The record at the beginning of body by the fields of DECODED."""
+    category, tokens, error = _read(body)
+    return {"category_id": category, "token_count": None if error else len(tokens), "tokens": None if error else tokens.tolist(), "error": error}
 
 
 @F.arrow_udf(DECODED)
 def decode_record(body):
-    """`decoded` by batches."""
+    """`decoded` by batches; tokens stay in arrays."""
     import pyarrow as pa
 
-    kind = pa.struct([("category_id", pa.int32()), ("token_count", pa.int32()), ("tokens", pa.list_(pa.int32())), ("error", pa.string())])
-    return pa.array([decoded(b) for b in body.to_pylist()], kind)
+    found = [_read(None if b is None else memoryview(b)) for b in (x.as_buffer() if x.is_valid else None for x in body)]
+    bad = np.array([x[2] is not None for x in found], bool)
+    counts = np.array([0 if x[2] else len(x[1]) for x in found], np.int32)
+    flat = np.concatenate([x[1] for x in found if not x[2]] or [np.empty(0, "<u2")]).astype(np.int32)
+    tokens = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(flat), mask=pa.array(bad))
+    fields = [pa.array([x[0] for x in found], pa.int32()), pa.array(counts, mask=bad), tokens, pa.array([x[2] for x in found], pa.string())]
+    return pa.StructArray.from_arrays(fields, ["category_id", "token_count", "tokens", "error"])
 
 
 def record_bytes(token_count: Column) -> Column:

@@ -76,14 +76,49 @@ def read_messages(raw: str | None) -> list[dict] | None:
 
 
 @F.arrow_udf(MESSAGES)
-def tolerant_messages(raw):
-    """`read_messages` by batches; a Python literal can't be read by an expression."""
+def _read_by_batches(raw):
     import pyarrow as pa
 
     kind = pa.list_(pa.struct([("role", pa.string()), ("content", pa.string())]))
     return pa.array([read_messages(x) for x in raw.to_pylist()], kind)
 
 
+def _first_said(first: Column, other: Column) -> Column:
+    return F.when(first != "", first).otherwise(F.when(other != "", other))
+
+
+def _usable(items: Column, part) -> Column:
+    """Of items the (role, content) that both are there; part(item, name) is a string or null."""
+    said = F.transform(items, lambda m: F.struct(_first_said(part(m, "role"), part(m, "from")).alias("role"), _first_said(part(m, "content"), part(m, "value")).alias("content")))
+    return F.filter(said, lambda m: m["role"].isNotNull() & m["content"].isNotNull())
+
+
+def tolerant_messages(raw: Column) -> Column:
+    """`read_messages` of a string column. JSON whose parts are strings is read by expressions; only other rows, Python
+    literals above all, go to Python."""
+    parsed = F.try_parse_json(raw)
+    items = F.try_variant_get(parsed, "$.messages", "array<variant>")
+
+    def held(m: Column, name: str) -> Column:
+        return F.try_variant_get(m, f"$.{name}", "variant")
+
+    # null for what is missing or null, else the kind of value
+    kind = lambda m, name: F.coalesce(F.schema_of_variant(held(m, name)), F.lit("VOID"))
+    plain = F.forall(items, lambda m: F.schema_of_variant(m).startswith("OBJECT") & kind(m, "role").isin("STRING", "VOID") & kind(m, "from").isin("STRING", "VOID") & kind(m, "content").isin("STRING", "VOID") & kind(m, "value").isin("STRING", "VOID"))
+    done = F.coalesce(plain, F.lit(False))
+    read = _usable(items, lambda m, name: F.try_variant_get(m, f"$.{name}", "string"))
+    return F.when(done, read).otherwise(_read_by_batches(F.when(~done, raw)))
+
+
+def struct_messages(messages: Column, kind: T.DataType) -> Column:
+    """The usable messages of a list of structs of type `kind`, by the rules of `read_messages`; null if it is no such list."""
+    none = F.lit(None).cast(MESSAGES)
+    if not isinstance(kind, T.ArrayType) or not isinstance(kind.elementType, T.StructType):
+        return F.when(messages.isNotNull(), F.array().cast(MESSAGES)).otherwise(none) if isinstance(kind, T.ArrayType) else none
+    strings = {f.name for f in kind.elementType.fields if isinstance(f.dataType, T.StringType)}
+    return _usable(messages, lambda m, name: m[name] if name in strings else F.lit(None).cast("string"))
+
+
 def abbreviated(n: int | None) -> str | None:
     """n with a suffix: two decimals for billions and millions, one for thousands."""
     if n is None:

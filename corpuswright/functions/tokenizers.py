@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,14 +70,22 @@ class WordTokenizer:
         return cls([r["w"] for r in top.collect()])
 
     def tokenize(self, text: Column) -> Column:
-        known = {w: i for i, w in enumerate(self.words, self.first)}
+        held = SparkSession.active().sparkContext.broadcast(self.words)  # as many as two bytes count
 
         @F.arrow_udf(T.ArrayType(T.IntegerType()))
         def ids(pieces):
+            import numpy as np
             import pyarrow as pa
+            import pyarrow.compute as pc
 
-            return pa.array([None if p is None else [known.get(w, 0) for w in p] + [1] for p in pieces.to_pylist()], pa.list_(pa.int32()))
+            at = pieces.offsets.to_numpy().astype(np.int64)
+            flat = pieces.values.slice(at[0], at[-1] - at[0])
+            found = pc.fill_null(pc.index_in(flat, value_set=pa.array(held.value, flat.type)), -first).to_numpy() + first
+            ends = at[1:] - at[0]
+            out = np.insert(found.astype(np.int32), ends, end)
+            return pa.ListArray.from_arrays(pa.array(np.r_[0, ends + np.arange(1, len(ends) + 1)].astype(np.int32)), pa.array(out))
 
+        first, end = self.first, self.end
         return ids(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORDS), F.lit(0)))
 
     def detokenize(self, ids: Column) -> Column:
@@ -92,37 +100,54 @@ class WordTokenizer:
         return text(ids)
 
 
+_models: dict[bytes, object] = {}
+
+
+def _model(body: bytes):
+    """The SentencePiece model in body, loaded once for each worker process."""
+    import hashlib
+
+    import sentencepiece
+
+    key = hashlib.sha256(body).digest()
+    if key not in _models:
+        _models.clear()
+        _models[key] = sentencepiece.SentencePieceProcessor(model_proto=body)
+    return _models[key]
+
+
 class SentencePieceTokenizer:
-    """A SentencePiece model file: its ids without a begin mark, with the end mark."""
+    """A SentencePiece model file: its ids without a begin mark, with the end mark. Workers get the model's bytes."""
 
     def __init__(self, path: str):
-        import sentencepiece
-
-        self.path = path
-        self.size = sentencepiece.SentencePieceProcessor(model_file=path).vocab_size()
+        spark = SparkSession.active()
+        # one file of a vocabulary's size, by any path that Spark can read
+        body = bytes(spark.read.format("binaryFile").load(path).first()["content"])
+        self.size = _model(body).vocab_size()
+        if self.size > 1 << 16:
+            raise ValueError("ids have two bytes")
+        self.body = spark.sparkContext.broadcast(body)
 
     def tokenize(self, text: Column) -> Column:
-        path = self.path
+        body = self.body
 
         @F.arrow_udf(T.ArrayType(T.IntegerType()))
         def ids(batch):
             import pyarrow as pa
-            import sentencepiece
 
-            model = sentencepiece.SentencePieceProcessor(model_file=path)
-            return pa.array([model.encode(t or "") + [model.eos_id()] for t in batch.to_pylist()], pa.list_(pa.int32()))
+            model = _model(body.value)
+            return pa.array([x + [model.eos_id()] for x in model.encode([t or "" for t in batch.to_pylist()])], pa.list_(pa.int32()))
 
         return ids(text)
 
     def detokenize(self, ids: Column) -> Column:
-        path = self.path
+        body = self.body
 
         @F.arrow_udf(T.StringType())
         def text(batch):
             import pyarrow as pa
-            import sentencepiece
 
-            model = sentencepiece.SentencePieceProcessor(model_file=path)
+            model = _model(body.value)
             return pa.array([None if x is None else model.decode([i for i in x if i != model.eos_id()]) for x in batch.to_pylist()], pa.string())
 
         return text(ids)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuswright.functions.draws import randint, uniform
-from corpuswright.functions.text import last_lines
+from corpuswright.functions.text import last_lines, wrap_text
 from corpuswright.functions.tokenizers import Tokenizer
 from corpuswright.schemas import BLOCK_SIZE, EVAL_SAMPLES, FIM_END, FIM_MID, FIM_PRE, FIM_SUF, IGNORE, MIN_CHUNK, MIN_EVAL, MIN_FIM, PAD_TOKEN
 
@@ -70,6 +70,13 @@ def eval_set(records: DataFrame, block: int = BLOCK_SIZE, n: int = EVAL_SAMPLES)
     return records.where(F.size("tokens") >= MIN_EVAL).orderBy("ordinal").limit(n).withColumn("ids", F.slice("tokens", 1, block))
 
 
+def sample_block(step: Column, prompt_text: Column, generated: Column, lines: int = 6, tokens: int = 32, columns: int = 80) -> Column:
+    """The lines that a sample at a checkpoint is shown in: step, prompt, what was generated, and a rule."""
+    head = F.concat(F.lit("===== step "), step.cast("string"), F.lit(" | checkpoint sample ====="))
+    asked, made = F.array(head, F.lit(f"-- prompt (last {lines} lines) --")), F.array(F.lit(f"-- generated ({tokens} tokens) --"))
+    return F.concat(asked, wrap_text(prompt_text), made, wrap_text(generated), F.array(F.lit("=" * (columns - 4))))
+
+
 def last_chunk(chunked: DataFrame) -> DataFrame:
     """The ids of the last chunk in the order of (ordinal, chunk)."""
     return chunked.agg(F.max_by("ids", F.struct("ordinal", "chunk")).alias("ids"))

@@ -15,10 +15,10 @@ CODE_NAMES = (*CODE_LANGUAGES, OTHER)
 def dictionary(rows: DataFrame, most: int = MAX_CATEGORIES) -> DataFrame:
     """category and category_id of rows (ordinal, category); an error if there are more categories than ids.
 
-    Names are aggregated first, so the ranking has one row for each; null counts as the empty name.
+    Names are aggregated first, and of those only the first most + 1 are ranked; null counts as the empty name.
     """
     first = rows.groupBy(F.coalesce("category", F.lit("")).alias("category")).agg(F.min("ordinal").alias("first"))
-    ids = first.withColumn("category_id", F.row_number().over(Window.orderBy("first", "category")))
+    ids = first.orderBy("first", "category").limit(most + 1).withColumn("category_id", F.row_number().over(Window.orderBy("first", "category")))
     limit = F.when(F.col("category_id") > most, F.raise_error(F.lit(f"more than {most} categories")).cast("int")).otherwise(F.col("category_id"))
     return ids.select("category", limit.cast("int").alias("category_id"))
 

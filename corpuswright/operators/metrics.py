@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpuswright.functions.text import step_of
 from corpuswright.schemas import IGNORE
 
-from .ranks import ranked
+from .ranks import fitting_span, ranked
 
 BETA = 0.01
 
@@ -42,11 +42,12 @@ def moving_average(series: DataFrame, key: str, order: str, value: str, ties: tu
     """key, n and ema: the exponential moving average with weight beta on the new value, after all finite values.
 
     Null, infinite and not-a-number values are passed over; the first finite one starts the average. Values weigh
-    beta * (1 - beta)^(values after it), the first without beta, so the fold is a sum, and no key needs one task.
+    beta * (1 - beta)^(values after it), the first without beta, so the fold is a sum, and no key needs one task: ranges of
+    the order are cut until none is too large for one (`fitting_span`).
     """
     x = F.col(value)
     finite = series.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = ranked(finite, order, "_rank", (key,), span=1 << 36, ties=ties)
+    rows = ranked(finite, order, "_rank", (key,), span=fitting_span(finite, order, (key,), 1 << 40), ties=ties)
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     both = rows.join(sizes, key)
     weight = F.pow(F.lit(1 - beta), (F.col("n") - 1 - F.col("_rank")).cast("double")) * F.when(F.col("_rank") == 0, 1.0).otherwise(beta)
@@ -61,6 +62,18 @@ def masked_accuracy(rows: DataFrame) -> DataFrame:
     return held.withColumn("accuracy", F.try_divide(F.col("correct").cast("double"), F.col("counted").cast("double")))
 
 
+def eval_loss(rows: DataFrame) -> DataFrame:
+    """One row: tokens, eval_loss and eval_ppl over the places of rows (y, nll) where y isn't IGNORE; null without any.
+
+    nll has a place's negative log-likelihood. All places weigh alike, whatever their row.
+    """
+    places = F.filter(F.arrays_zip(F.col("y").alias("y"), F.col("nll").alias("l")), lambda z: z["y"] != IGNORE)
+    each = rows.select(places.alias("_z")).select(F.size("_z").cast("long").alias("_n"), F.aggregate("_z", F.lit(0.0), lambda a, z: a + z["l"]).alias("_l"))
+    sums = each.where("_n > 0").agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("tokens"), F.sum("_l").alias("_l"))
+    loss = F.when(F.col("tokens") > 0, F.col("_l") / F.col("tokens"))
+    return sums.select("tokens", loss.alias("eval_loss"), perplexity(loss).alias("eval_ppl"))
+
+
 def _cosine(s: Column, top: float, least: float, warm: int, decayed: int) -> Column:
     part = (s - warm) / (decayed - warm)
     return least + 0.5 * (1 + F.cos(F.lit(math.pi) * part)) * (top - least)
@@ -89,3 +102,20 @@ def keep_last(files: DataFrame, n: int) -> DataFrame:
         rows = rows.withColumn("kept", F.row_number().over(Window.orderBy(F.desc_nulls_last("step"), "name")) <= n)
     most = files.select(F.max(step_of(F.col("name")))).first()[0]
     return rows.withColumn("latest", F.col("step").eqNullSafe(F.lit(most).cast("long")))
+
+
+def keep_last_big(files: DataFrame, n: int, prefix: str = "step_big_", suffix: str = ".pt") -> DataFrame:
+    """files (name) with step and kept, by the large trainer's rules.
+
+    Of names that begin with prefix the n largest steps stay, and other checkpoints (names with the suffix) go, as they are
+    superseded; 0 and -1 keep all, other negatives no checkpoint. Files that are neither are kept.
+    """
+    rows = files.withColumn("step", step_of(F.col("name")))
+    big, checkpoint = F.col("name").startswith(prefix), F.col("name").endswith(suffix)
+    if n in (0, -1):
+        return rows.withColumn("kept", F.lit(True))
+    if n < 0:
+        return rows.withColumn("kept", ~checkpoint)
+    # names in a folder, few
+    rank = F.row_number().over(Window.partitionBy(big).orderBy(F.desc_nulls_last("step"), F.desc("name")))
+    return rows.withColumn("kept", F.when(big, rank <= n).otherwise(~checkpoint))

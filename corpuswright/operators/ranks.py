@@ -13,6 +13,21 @@ from pyspark.sql import functions as F
 RANGE = 1 << 16
 
 
+#: Rows of a range that one task should rank, at most.
+ROWS = 1 << 20
+
+
+def fitting_span(df: DataFrame, order: str, keys: tuple[str, ...] = (), span: int = RANGE, rows: int = ROWS) -> int:
+    """The largest span of span, span / 2, ... by which no range within keys has over `rows` rows; 1 if ties alone do."""
+    while span > 1:
+        sizes = df.groupBy(*keys, F.floor(F.col(order) / span)).agg(F.count(F.lit(1)).alias("n"))
+        most = sizes.agg(F.max("n")).first()[0] or 0
+        if most <= rows:
+            break
+        span = max(1, span >> max(1, (-(-most // rows) - 1).bit_length()))
+    return span
+
+
 def running(df: DataFrame, order: str, value: Column, name: str, keys: tuple[str, ...] = (), span: int = RANGE, ties: tuple[str, ...] = ()) -> DataFrame:
     """df with `name`: the sum of value over the rows before, in the order of a whole number (and then `ties`) within keys.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,7 @@ class ServingState:
         """The next records; the cursor moves on and the counts grow."""
         version, at = self._latest()
         found, to = next_samples(records, at, wanted)
+        found = found.persist(StorageLevel.MEMORY_AND_DISK)  # as many rows as are wanted; the counts and the caller read them
         counts = served_counts(found).select(F.lit(version + 1).cast("long").alias("version"), "category", "served_count", "served_token_count")
         append(counts, f"{self.folder}/served")
         self._move(version + 1, to)

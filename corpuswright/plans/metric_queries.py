@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuswright.operators import metrics as M
+from corpuswright.operators.batching import sample_block
 
 from .registry import query, read
 
@@ -36,23 +37,6 @@ def ema_by_user(spark, d):
     return M.moving_average(events, "user_id", "_us", "value", ("event_id",)).withColumn("ema", F.round("ema", 6))
 
 
-_CODES = "[unicode(x) FOR x IN string_split(text[1:32], '')]"
-
-
-@query("""
-    WITH z AS (SELECT doc_id, unnest(range(least(length(text), 32))) AS i, text FROM documents),
-         y AS (SELECT doc_id, CASE WHEN i % 5 = 0 THEN -100 ELSE unicode(text[i + 1:i + 1]) END AS y, CASE WHEN i % 3 = 0 THEN 0 ELSE unicode(text[i + 1:i + 1]) END AS p FROM z)
-    SELECT doc_id, count(*) FILTER (y <> -100) AS counted, count(*) FILTER (y <> -100 AND y = p) AS correct,
-           round(count(*) FILTER (y <> -100 AND y = p) / nullif(count(*) FILTER (y <> -100), 0), 6) AS accuracy
-    FROM y GROUP BY doc_id""")
-def masked_accuracy(spark, d):
-    """The first characters' codes as targets, a third of them predicted wrongly, a fifth masked."""
-    codes = F.transform(F.sequence(F.lit(1), F.least(F.char_length("text"), F.lit(32))), lambda i: F.ascii(F.substring(F.col("text"), i, F.lit(1))))
-    rows = read(spark, d, "documents").where(F.char_length("text") > 0).withColumn("_c", codes)
-    rows = rows.select("doc_id", F.transform("_c", lambda x, i: F.when(i % 5 == 0, -100).otherwise(x)).alias("y"), F.transform("_c", lambda x, i: F.when(i % 3 == 0, 0).otherwise(x)).alias("predicted"))
-    return M.masked_accuracy(rows).select("doc_id", "counted", "correct", F.round("accuracy", 6).alias("accuracy"))
-
-
 @query("""
     WITH z AS (SELECT doc_id, string_split(text, '') AS c FROM documents),
          x AS (SELECT doc_id, unnest(range(len(c))) AS i, unnest(c) AS c FROM z WHERE len(c) > 0 AND c[1] <> ''),
@@ -60,8 +44,8 @@ def masked_accuracy(spark, d):
     SELECT doc_id, count(*) FILTER (y <> -100) AS counted, count(*) FILTER (y <> -100 AND y = p) AS correct,
            round(count(*) FILTER (y <> -100 AND y = p) / nullif(count(*) FILTER (y <> -100), 0), 6) AS accuracy
     FROM y GROUP BY doc_id""")
-def masked_accuracy_whole(spark, d):
-    """As `masked_accuracy`, over all characters of each text."""
+def masked_accuracy(spark, d):
+    """All characters' codes as targets, a third of them predicted wrongly, a fifth masked."""
     rows = read(spark, d, "documents").where(F.char_length("text") > 0).withColumn("_c", F.transform(F.split("text", ""), lambda x: F.ascii(x)))
     rows = rows.select("doc_id", F.transform("_c", lambda x, i: F.when(i % 5 == 0, -100).otherwise(x)).alias("y"), F.transform("_c", lambda x, i: F.when(i % 3 == 0, 0).otherwise(x)).alias("predicted"))
     return M.masked_accuracy(rows).select("doc_id", "counted", "correct", F.round("accuracy", 6).alias("accuracy"))
@@ -87,3 +71,31 @@ def lr_schedule(spark, d):
 def keep_last_n(spark, d):
     names = read(spark, d, "nation").select(F.concat(F.lit("step_"), (F.col("n_nationkey") * 250).cast("string"), F.lit(".pt")).alias("name"))
     return M.keep_last(names, 5)
+
+
+@query("""
+    WITH r AS (SELECT name, step, name LIKE 'step_big_%' AS big, name LIKE '%.pt' AS pt FROM (
+            SELECT CASE n_nationkey % 4 WHEN 0 THEN 'step_big_' || (n_nationkey * 250) || '.pt' WHEN 3 THEN 'log_' || n_nationkey || '.txt' ELSE 'step_' || (n_nationkey * 250) || '.pt' END AS name,
+                   (CASE n_nationkey % 4 WHEN 3 THEN 1 ELSE 250 END * n_nationkey)::BIGINT AS step FROM nation))
+    SELECT name, step, CASE WHEN big THEN row_number() OVER (PARTITION BY big ORDER BY step DESC) <= 2 ELSE NOT pt END AS kept FROM r""")
+def keep_last_big(spark, d):
+    key = F.col("n_nationkey")
+    number = (key * 250).cast("string")
+    big, small = F.concat(F.lit("step_big_"), number, F.lit(".pt")), F.concat(F.lit("step_"), number, F.lit(".pt"))
+    other = F.concat(F.lit("log_"), key.cast("string"), F.lit(".txt"))
+    names = read(spark, d, "nation").select(F.when(key % 4 == 0, big).when(key % 4 == 3, other).otherwise(small).alias("name"))
+    return M.keep_last_big(names, 2)
+
+
+def _wrapped(text: str) -> str:
+    return f"[rtrim({text})[i * 80 + 1:(i + 1) * 80] FOR i IN range(greatest(1, ceil(length(rtrim({text})) / 80.0)::INT))]"
+
+
+@query(f"""
+    SELECT p_partkey, array_to_string(['===== step ' || p_partkey || ' | checkpoint sample =====', '-- prompt (last 6 lines) --'] || {_wrapped("repeat(p_name || ' ', 12)")} || {_wrapped("p_brand")}
+           || ['-- generated (32 tokens) --'] || {_wrapped("repeat(p_type || ' ', 5)")} || [repeat('=', 76)], chr(10)) AS shown FROM part""")
+def checkpoint_sample(spark, d):
+    """Names of parts as prompts, their types as what was generated."""
+    prompt = F.concat(F.repeat(F.concat("p_name", F.lit(" ")), F.lit(12)), F.lit("\n"), "p_brand")
+    block = sample_block(F.col("p_partkey"), prompt, F.repeat(F.concat("p_type", F.lit(" ")), F.lit(5)))
+    return read(spark, d, "part").select("p_partkey", F.array_join(block, "\n").alias("shown"))

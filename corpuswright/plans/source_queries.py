@@ -63,7 +63,7 @@ def src_math(spark, d):
 
 @query("""
     WITH l AS (SELECT conv_id, max(turn) AS last FROM conversations WHERE role = 'assistant' GROUP BY conv_id)
-    SELECT c.conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>', chr(10) ORDER BY turn) AS text, 'distill_chat' AS category
+    SELECT c.conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>', chr(10) ORDER BY turn) AS text, 'instruction' AS category
     FROM conversations c JOIN l ON c.conv_id = l.conv_id AND c.turn <= l.last GROUP BY c.conv_id HAVING count(*) > 1""")
 def src_distill_chat(spark, d):
     """What comes before a conversation's last answer, as JSON, and that answer."""

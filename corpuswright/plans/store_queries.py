@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuswright.functions import codec
-from corpuswright.functions.tokenizers import WORDS, ByteTokenizer, WordTokenizer
+from corpuswright.functions.tokenizers import WORDS, ByteTokenizer, SentencePieceTokenizer, WordTokenizer
 from corpuswright.operators import batching as B
-from corpuswright.operators import catalog, dedup, ranks, report, serve, stats, store
+from corpuswright.operators import catalog, dedup, metrics, ranks, report, serve, stats, store
+from corpuswright.operators.state import ServingState
 from corpuswright.sources import adapters, token_log
+from corpuswright.streaming import ingest as ingest_stream
 from corpuswright.streaming.ingest import resume
 
+from . import shared
 from .registry import query, read
 
 #: Sources that stand in for code categories; blocks small enough for many chunks.
@@ -316,3 +319,87 @@ def eval_set(spark, d):
 @query(f"WITH {_TOKENS}, {_chunk_sql(BLOCK)} SELECT len(ids)::INT AS n, md5(array_to_string(ids, ',')) AS ids_md5 FROM h ORDER BY ordinal DESC, chunk DESC LIMIT 1")
 def last_chunk(spark, d):
     return B.last_chunk(B.chunks(_records(spark, d), BLOCK)).select(F.size("ids").alias("n"), _digest(F.col("ids")).alias("ids_md5"))
+
+
+@query(f"""
+    WITH {_TOKENS}, e AS (SELECT tokens[1:{FIM_BLOCK}] AS ids FROM t WHERE len(tokens) >= 64 ORDER BY ordinal LIMIT 8),
+         p AS (SELECT ids[i + 2] AS y FROM (SELECT ids, unnest(range(len(ids) - 1)) AS i FROM e))
+    SELECT count(*) AS tokens, round(sum((y % 7) / 3.0) / count(*), 6) AS eval_loss, round(exp(least(sum((y % 7) / 3.0) / count(*), 20)), 4) AS eval_ppl FROM p""")
+def eval_loss(spark, d):
+    """Loss over the fixed set; a token's number stands for how unlikely a model finds it, and padding for anything."""
+    rows = B.lm_pairs(B.eval_set(_records(spark, d), FIM_BLOCK), FIM_BLOCK).withColumn("nll", F.transform("y", lambda t: F.when(t < 0, 1e6).otherwise((t % 7) / 3.0)))
+    return metrics.eval_loss(rows).select("tokens", F.round("eval_loss", 6).alias("eval_loss"), F.round("eval_ppl", 4).alias("eval_ppl"))
+
+
+@query()
+def prompt(spark, d):
+    """The end of the last chunk, as text and ids."""
+    return B.prompt(B.chunks(_records(spark, d), BLOCK), ByteTokenizer(), BLOCK)
+
+
+@query(f"WITH {_SERVED} SELECT category, served_count, served_token_count FROM st WHERE served_count > 0 OR served_token_count > 0")
+def served_maps(spark, d):
+    return stats.served_maps(_stats(spark, d))
+
+
+@query(f"""
+    WITH {_KEPT}, {_RECORD}
+    SELECT ordinal, CASE WHEN k IN (0, 5) THEN category_id END AS category_id, CASE WHEN k IN (0, 5) THEN token_count END AS token_count,
+           CASE k WHEN 1 THEN 'no record' WHEN 2 THEN 'short header' WHEN 3 THEN 'truncated' WHEN 4 THEN 'bad size' END AS error
+    FROM (SELECT *, ordinal % 6 AS k FROM e)""")
+def damaged_records(spark, d):
+    """Of six records one is whole, one missing, one cut in its header, one in its tokens, one of size 0, one has bytes after it."""
+    k, record = F.col("ordinal") % 6, F.col("record")
+    most = lambda n: F.substring(record, F.lit(1), n)
+    bad = F.when(k == 0, record).when(k == 2, most(F.lit(8))).when(k == 3, most((F.octet_length(record) - 1).cast("int")))
+    bad = bad.when(k == 4, F.concat(F.unhex(F.lit("00" * 8)), record)).when(k == 5, F.concat(record, F.unhex(F.lit("05FF"))))
+    found = _encoded(spark, d).select("ordinal", codec.decode_record(bad).alias("r"))
+    return found.select("ordinal", "r.category_id", "r.token_count", "r.error")
+
+
+@query(f"""
+    WITH {_KEPT} SELECT ordinal, category, category_id, content_hash, token_count, row_number() OVER (ORDER BY ordinal) - 1 AS position,
+           (sum(9 + 2 * token_count::BIGINT) OVER (ORDER BY ordinal) - 9 - 2 * token_count)::BIGINT AS file_offset FROM q""")
+def store_written(spark, d):
+    """The store as it is read back from where it was written, in the shared folder."""
+    path = f"{shared.folder(spark)}/store"
+    store.write(_records(spark, d).drop("tokens"), path, span=4096)
+    return spark.read.parquet(path)
+
+
+@query(f"""
+    WITH {_KEPT}, n AS (SELECT *, row_number() OVER (ORDER BY ordinal) - 1 AS position, count(*) OVER () AS n FROM q),
+         s AS (SELECT n.* FROM (SELECT range AS slot FROM range(150) UNION ALL SELECT range FROM range(256)) i JOIN n ON n.position = i.slot % n.n)
+    SELECT category, count(*) AS served_count, sum(token_count)::BIGINT AS served_token_count FROM s GROUP BY category""")
+def serving_state(spark, d):
+    """Counts after three steps of a served store: 100 records, 50 more, and, from the beginning again, the default number."""
+    folder = shared.folder(spark)
+    store.write(_light(spark, d), f"{folder}/store", span=4096)
+    held, state = spark.read.parquet(f"{folder}/store"), ServingState(spark, f"{folder}/state")
+    state.serve(held, 100)
+    state.serve(held, 50)
+    state.reset()
+    state.serve(held)
+    return state.served()
+
+
+@query(f"WITH {_KEPT} SELECT ordinal, category, category_id, content_hash, token_count FROM q")
+def stream_ingest(spark, d):
+    """Documents as JSON files, ingested by a stream in two runs, the second after a restart with more files."""
+    folder = shared.folder(spark)
+    rows = _rows(spark, d)
+    middle = rows.agg(F.expr("percentile_approx(ordinal, 0.5)")).first()[0] or 0
+    for part in (F.col("ordinal") <= middle, F.col("ordinal") > middle):
+        rows.where(part).write.mode("append").json(f"{folder}/in")
+        ingest_stream.start(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", ByteTokenizer(), files_at_once=1 << 20).awaitTermination()
+    return spark.read.parquet(f"{folder}/out/records").drop("tokens")
+
+
+@query()
+def tokenize_sentencepiece(spark, d):
+    """Whole documents by a public SentencePiece model."""
+    import public_tokenizers
+
+    t = SentencePieceTokenizer(public_tokenizers.path("piece_bpe_32k.model"))
+    ids = read(spark, d, "documents").select("doc_id", t.tokenize(F.col("text")).alias("ids"))
+    return ids.select("doc_id", F.size("ids").alias("token_count"), _digest(F.col("ids")).alias("tokens_md5"))

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuswright.functions import text as X
 from corpuswright.schemas import CODE_LANGUAGES, OTHER, SAMPLE
@@ -81,14 +82,23 @@ def math(raw: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
 
 @needs("instruction", "response")
 def distilled_chat(raw: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
-    """A conversation as JSON or a Python literal, and the answer as its last turn.
+    """A conversation as a struct, as JSON or as a Python literal, and the answer as its last turn.
 
-    Rows go without a usable message or with a blank answer.
+    Rows go without a usable message or with a blank answer; columns of other types leave no rows.
     """
-    answer = F.col("response")
-    rows = raw.where((F.length("instruction") > 0) & (F.length(X.strip(answer)) > 0)).select(*keep, "response", X.tolerant_messages(F.col("instruction")).alias("_m"))
+    kinds = {f.name: f.dataType for f in raw.schema.fields}
+    given, answer = kinds["instruction"], F.col("response")
+    if not isinstance(kinds["response"], T.StringType):
+        return raw.sparkSession.createDataFrame([], SAMPLE)
+    if isinstance(given, T.StructType) and "messages" in given.names:
+        messages = X.struct_messages(F.col("instruction.messages"), given["messages"].dataType)
+    elif isinstance(given, T.StringType):
+        messages = X.tolerant_messages(F.col("instruction"))
+    else:
+        return raw.sparkSession.createDataFrame([], SAMPLE)
+    rows = raw.where(F.length(X.strip(answer)) > 0).select(*keep, "response", messages.alias("_m"))
     last = F.struct(F.lit("assistant").alias("role"), answer.alias("content"))
-    return _out(rows.where(F.size("_m") > 0), X.chatml(F.concat("_m", F.array(last))), F.lit("distill_chat"), keep)
+    return _out(rows.where(F.size("_m") > 0), X.chatml(F.concat("_m", F.array(last))), F.lit("instruction"), keep)
 
 
 @needs("language_score", "text")

@@ -22,7 +22,7 @@ def _extended(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:
     known = _names(spark, path)
     start = known.agg(F.coalesce(F.max("category_id"), F.lit(0))).first()[0]
     new = rows.groupBy("category").agg(F.min("ordinal").alias("_o")).join(known, "category", "left_anti")
-    new = new.select("category", (F.row_number().over(Window.orderBy("_o", "category")) + start).cast("int").alias("category_id"))
+    new = new.orderBy("_o", "category").limit(MAX_CATEGORIES + 1).select("category", (F.row_number().over(Window.orderBy("_o", "category")) + start).cast("int").alias("category_id"))
     if (most := new.agg(F.max("category_id")).first()[0]) is None:
         return known
     if most > MAX_CATEGORIES:
@@ -42,14 +42,16 @@ def start(spark: SparkSession, source: str, target: str, checkpoint: str, tokeni
         session = batch.sparkSession
         rows = batch.select("ordinal", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("category", F.lit("")).alias("category"))
         like = session.createDataFrame([], "ordinal long, category string, category_id int, content_hash string, token_count int, tokens array<int>")
-        new = dedup.against_store(dedup.hashed(dedup.first_arrivals(rows)), store.opened(session, f"{target}/records", like))
-        new = new.persist()
+        first = dedup.hashed(dedup.first_arrivals(rows)).persist()
+        # the batch is bounded by its files; of the history only hashes are read, and those of the batch are sought there
+        new = dedup.against_store(first, store.opened(session, f"{target}/records", like), first.count()).persist()
         try:
             coded = new.join(F.broadcast(_extended(session, new, f"{target}/categories")), "category")
             tokens = coded.withColumn("tokens", tokenizer.tokenize(F.col("text")))
             store.append(tokens.select("ordinal", "category", "category_id", "content_hash", F.size("tokens").alias("token_count"), "tokens"), f"{target}/records")
         finally:
             new.unpersist()
+            first.unpersist()
 
     stream = spark.readStream.schema(ROWS).option("maxFilesPerTrigger", files_at_once).json(source)
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

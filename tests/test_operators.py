@@ -253,11 +253,11 @@ def test_prompt_is_the_end_of_the_last_chunk(spark):
 
 
 def test_masked_accuracy_reads_whole_texts(spark, tmp_path):
-    from corpuswright.plans.metric_queries import masked_accuracy_whole
+    from corpuswright.plans.metric_queries import masked_accuracy
 
     texts = ["", None, "a", "é日😀\n" * 3000, "x" * 33, "\0b" * 40, "words and more " * 20_000]
     frame(spark, list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    found = {r.doc_id: (r.counted, r.correct, r.accuracy) for r in masked_accuracy_whole(spark, str(tmp_path)).collect()}
+    found = {r.doc_id: (r.counted, r.correct, r.accuracy) for r in masked_accuracy(spark, str(tmp_path)).collect()}
     wanted = {}
     for i, text in enumerate(texts):
         y = [(-100 if k % 5 == 0 else ord(c), 0 if k % 3 == 0 else ord(c)) for k, c in enumerate(text or "")]
@@ -265,3 +265,110 @@ def test_masked_accuracy_reads_whole_texts(spark, tmp_path):
         if text:
             wanted[i] = (len(kept), sum(kept), round(sum(kept) / len(kept), 6) if kept else None)
     assert found == wanted and found[6][0] == 240_000
+
+
+def test_first_arrivals_without_or_with_equal_ordinals(spark):
+    rows = [(None, "x", 1), (None, "x", 2), (1, "y", 3), (1, "z", 4), (0, "z", 5), (2, "w", 6), (2, "w", 7), (None, "y", 8), (None, None, 9), (7, "", 10)]
+    kept = dedup.first_arrivals(frame(spark, rows, "ordinal long, text string, __hash int"))
+    assert kept.columns == ["ordinal", "text", "__hash"]
+    assert sorted((r.ordinal if r.ordinal is not None else -1, r.text) for r in kept.collect()) == [(-1, "x"), (0, "z"), (1, "y"), (2, "w"), (7, "")]
+
+
+def test_known_texts_are_found_either_way(spark):
+    rows = dedup.hashed(frame(spark, [(1, "a"), (2, "b"), (3, None)], "ordinal long, text string"))
+    held = dedup.hashed(frame(spark, [(8, "b"), (9, "b"), (9, "c")], "ordinal long, text string"))
+    for most in (None, 3, dedup.BROADCAST_ROWS + 1):
+        assert sorted(r.ordinal for r in dedup.against_store(rows, held, most).collect()) == [1, 3]
+
+
+@pytest.mark.parametrize("ids", [[1, 10**15], [3, 70_000, 10**10 + 5, 2**40, 10**15, 4 * 10**18], [5]])
+def test_random_draws_over_wide_gaps(spark, ids):
+    rows = frame(spark, [(i,) for i in [*ids, None, -4]], "record_id long")
+    found = serve.random_samples(rows, 400, seed=3).collect()
+    assert sorted(r.slot for r in found) == list(range(400))
+    assert all(1 <= r.drawn <= max(ids) and r.record_id == min(i for i in ids if i >= r.drawn) for r in found)
+    assert len(ids) < 2 or max(r.drawn for r in found) > max(ids) // 2
+
+
+def test_the_next_id_is_found_at_any_span(spark):
+    r = random.Random(9)
+    ids = sorted(r.sample(range(3000), 60))
+    points = [(k, r.randrange(ids[-1] + 1)) for k in range(300)] + [(300 + k, i) for k, i in enumerate(ids)]
+    for span in (64, 1 << 16):
+        found = serve.at_or_after(frame(spark, points, "slot long, at long"), frame(spark, [(i,) for i in ids], "id long"), ids[-1], span).collect()
+        assert {x.slot: x.id for x in found} == {k: min(i for i in ids if i >= p) for k, p in points}
+
+
+def test_a_written_store_is_served_by_its_positions(spark, tmp_path):
+    held = records(spark, 23)
+    store.write(held, f"{tmp_path}/store", span=8)
+    read = spark.read.parquet(f"{tmp_path}/store")
+    assert [(r.ordinal, r.position, r.file_offset) for r in read.orderBy("position").collect()] == [(5 * i, i, 15 * i) for i in range(23)]
+    for position, wanted in ((0, 5), (20, 6), (22, 23), (3, 60)):
+        stored, ranked = (serve.next_samples(x, serve.Cursor(position), wanted, span=8) for x in (read, held))
+        key = lambda df: sorted((r.slot, r.position, r.ordinal) for r in df.collect())
+        assert key(stored[0]) == key(ranked[0]) and len(key(stored[0])) == wanted and stored[1] == ranked[1]
+    plan = serve.next_samples(read, serve.Cursor(2), 3)[0]._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(position,2)" in plan and "Window" not in plan
+
+
+def test_older_stores_open(spark, tmp_path):
+    like = spark.createDataFrame([], "ordinal long, category string")
+    assert store.opened(spark, f"{tmp_path}/none", like).count() == 0
+    frame(spark, [(1,)], "ordinal long").write.parquet(f"{tmp_path}/old")
+    assert store.opened(spark, f"{tmp_path}/old", like).first().category is None
+    frame(spark, [("1",)], "ordinal string").write.parquet(f"{tmp_path}/other")
+    with pytest.raises(ValueError, match="ordinal"):
+        store.opened(spark, f"{tmp_path}/other", like)
+
+
+def test_distilled_chats_as_structs_and_by_expressions(spark):
+    parts = "array<struct<role:string,content:string,`from`:string,value:string>>"
+    rows = [(([("user", "q", None, None), ("", "c", "human", None), (None, None, None, "v"), ("user", "", None, "w")],), "r"), ((None,), "r"), (None, "r"), (([],), "r"), (([("a", "b", None, None)],), "  ")]
+    found = A.distilled_chat(frame(spark, rows, f"instruction struct<messages:{parts}>, response string")).collect()
+    turn = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>"
+    assert [(r.text, r.category) for r in found] == [("\n".join([turn("user", "q"), turn("human", "c"), turn("user", "w"), turn("assistant", "r")]), "instruction")]
+    assert A.distilled_chat(frame(spark, [(1, "r")], "instruction int, response string")).count() == 0
+    assert A.distilled_chat(frame(spark, [((1,), "r")], "instruction struct<a:int>, response string")).count() == 0
+    assert A.distilled_chat(frame(spark, [("{}", 1)], "instruction string, response int")).count() == 0
+
+
+def test_messages_by_expressions_equal_the_reader(spark):
+    from corpuswright.functions import text as X
+
+    rows = ['{"messages": [{"role": "u", "content": "c"}, {"role": "", "from": "f", "value": "v"}]}', '{"messages": [{"role": 5, "from": "f", "content": "c"}]}', '{"messages": [{"role": 0, "from": "f", "content": "c"}]}',
+            '{"messages": [null, "x", {"role": "u", "content": null, "value": "w"}]}', '{"messages": {"role": "u"}}', '{"messages": []}', "[1]", "{", "", None, '{"messages": [{"role": "u", "content": NaN}]}', "{'messages': ({'role': 'u'},)}",
+            "{'messages': [{'role': 'u', 'content': 'it\\'s'}]}", '{"a": 1}', '"messages"', '{"messages": [{"role": "u", "content": "1"}], "messages": []}', '{"messages": null}', '{"messages": [{"content": "c", "role": "r", "x": {"y": [1]}}]}']
+    df = frame(spark, [(i, x) for i, x in enumerate(rows)], "i long, raw string")
+    found = {r.i: r.m for r in df.select("i", X.tolerant_messages(F.col("raw")).alias("m")).collect()}
+    for i, x in enumerate(rows):
+        assert [(m.role, m.content) for m in found[i] or []] == [(m["role"], m["content"]) for m in X.read_messages(x) or []], x
+
+
+def test_superseded_checkpoints_go(spark):
+    names = ["step_big_5.pt", "step_big_40.pt", "step_big_300.pt", "step_900.pt", "notes.txt"]
+    files = frame(spark, [(n,) for n in names], "name string")
+    kept = lambda n: {r.name for r in metrics.keep_last_big(files, n).collect() if r.kept}
+    assert kept(0) == kept(-1) == set(names) and kept(-3) == {"notes.txt"}
+    assert kept(2) == {"step_big_40.pt", "step_big_300.pt", "notes.txt"} and kept(9) == set(names) - {"step_900.pt"}
+
+
+def test_loss_over_the_fixed_set(spark):
+    row = metrics.eval_loss(frame(spark, [([1, -100], [2.0, 50.0]), ([3, 4], [1.0, 3.0]), ([-100], [9.0]), ([], [])], "y array<int>, nll array<double>")).first()
+    assert (row.tokens, row.eval_loss, row.eval_ppl) == (3, 2.0, pytest.approx(math.exp(2)))
+    none = metrics.eval_loss(frame(spark, [([-100], [9.0])], "y array<int>, nll array<double>")).first()
+    assert (none.tokens, none.eval_loss, none.eval_ppl) == (0, None, None)
+
+
+def test_sample_block(spark):
+    row = frame(spark, [(250, "a" * 79 + "日b\nc  ", "out")], "s long, p string, g string").select(B.sample_block(F.col("s"), F.col("p"), F.col("g")).alias("b")).first()
+    assert row.b == ["===== step 250 | checkpoint sample =====", "-- prompt (last 6 lines) --", "a" * 79, "日b", "c", "-- generated (32 tokens) --", "out", "=" * 76]
+
+
+def test_dense_orders_are_cut_finer(spark):
+    df = spark.range(4000).select((F.col("id") + 10**9).alias("o"), F.lit(None).cast("string").alias("k"))
+    span = ranks.fitting_span(df, "o", ("k",), 1 << 30, rows=100)
+    assert 50 <= span <= 100
+    assert ranks.fitting_span(df, "o", (), 64, rows=100) == 64
+    assert ranks.fitting_span(df.select(F.lit(5).alias("o")), "o", (), 1 << 20, rows=100) == 1
+    assert ranks.fitting_span(df.limit(0), "o") == ranks.RANGE
