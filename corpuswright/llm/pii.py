@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boosting
+from .arrays import let, let_sql, piece, prefix_sql, ranks, segments, tops
 from .common import columns_of, text_of
 
 KINDS = ("email", "ip", "card", "phone")
@@ -34,7 +35,10 @@ MORE = {
 # word's full stop.
 _HEX, _PART = "[0-9A-Fa-f]{1,4}+", r"[\x20)(./-]{1,2}+"
 _AHEAD, _BEHIND = r"(?<![0-9A-Za-z,+/_-])(?<![^\p{L}]\.)\(?", r"(?:-[0-9]{1,5}+)?+(?![0-9A-Za-z])"
+# Spelled-out addresses end in one of these.
+DOMAIN = r"(?i)[^a-z](?:com|org|net|edu|gov|info|biz|io|co|eu|de|fr|es|it|nl|ch|at|uk|us|ca|au|jp|cn|in|br|ru|pl|se)$"
 FURTHER = {
+    "email": (r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++\x20at\x20[a-z0-9-]++(?:\x20dot\x20[a-z0-9-]++){1,4}+(?![a-z0-9@])",),
     "ip": (
         rf"(?<![0-9A-Za-z:.])(?=:*+[0-9A-Fa-f])(?=(?:[0-9A-Fa-f]{{0,4}}+:){{2,8}}+)(?:(?:{_HEX}:){{7}}+{_HEX}|(?:{_HEX}(?::{_HEX}){{0,6}}+)?+::(?:{_HEX}(?::{_HEX}){{0,6}}+)?+)(?![0-9A-Za-z:]|\.[0-9])",
     ),
@@ -47,10 +51,11 @@ FURTHER = {
 }
 #: The most colons of an address.
 COLONS = 8
-MORE_NEEDS = {"email": r"(?i)[\[({]at[\])}]", "ip": "[0-9A-Fa-f]::?[0-9A-Fa-f]|::[0-9A-Fa-f]|[0-9A-Fa-f]::", "card": "[0-9]{4}", "phone": "[0-9]{2}"}
+MORE_NEEDS = {"email": r"(?i)[\[({]at[\])}]|\x20dot\x20", "ip": "[0-9A-Fa-f]::?[0-9A-Fa-f]|::[0-9A-Fa-f]|[0-9A-Fa-f]::", "card": "[0-9]{4}", "phone": "[0-9]{2}"}
 DIGITS = {"email": (0, 10**6), "ip": (0, 40), "card": (13, 19), "phone": (7, 15)}
-#: A candidate is redacted from this calibrated probability on.
-THRESHOLD = 0.9
+#: A kind's candidates are redacted from the least calibrated probability on, between these two, from which on so large a
+#: part of its candidates that weren't fitted on is personal data.
+LEAST, MOST, PRECISION = 0.7, 0.9, 0.98
 #: Code points before a candidate that its features see.
 CONTEXT = 24
 CUES = {
@@ -59,35 +64,32 @@ CUES = {
     "cue_mail": r"(?:mail|contact|write|reach|address)[^\n]{0,12}$",
     "cue_other": r"(?:order|invoice|isbn|issn|version|ver|ref|serial|sku|ticket|track|page|pages|pp|date|year|lines?|no|nr|id|sum|total|rev|build|code|doi|score|table)[^a-z\n]{0,6}$",
 }
-NAMES = [*(f"is_{k}" for k in KINDS), "chars", "digits", "groups", "paren", "dots", "dashes", "spaces", "slashes", "colons", "zero", "luhn", "year", *CUES, "left_letter", "right_letter"]
+NAMES = [*(f"is_{k}" for k in KINDS), "chars", "digits", "groups", "paren", "dots", "dashes", "spaces", "slashes", "colons", "zero", "luhn", "year", *CUES, "left_letter", "right_letter", "domain"]
 SPAN = "array<struct<start:int,stop:int,m:string>>"
+SPAN_AROUND = "array<struct<start:int,stop:int,m:string,left:string,right:string>>"
 #: Made texts that the trees are fitted on.
 MADE = 1600
 
 
-def _let(value: Column, use) -> Column:
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def _found(pattern: str, needs: str, around: bool = False) -> Column:
+    """Leftmost non-overlapping matches in the column text with their places in code points: the gaps between them give the
+    places. Put as SQL, which is parsed at once.
 
-
-def _found(text: Column, pattern: str, needs: str) -> Column:
-    """Leftmost non-overlapping matches with their places in code points: the gaps between them give the places."""
-
-    def places(s: Column) -> Column:
-        hits, gaps = s["hits"], s["gaps"]
-        none = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-
-        def step(so_far: Column, i: Column) -> Column:
-            start = so_far["at"] + F.char_length(F.get(gaps, i))
-            stop = start + F.char_length(F.get(hits, i))
-            hit = F.struct(start.alias("start"), stop.alias("stop"), F.get(hits, i).alias("m"))
-            return F.struct(stop.alias("at"), F.concat(so_far["out"], F.array(hit)).alias("out"))
-
-        walked = F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), none, step, lambda x: x["out"])
-        return F.when(F.size(hits) == 0, F.array().cast(SPAN)).otherwise(walked)
-
-    has = text.contains(needs) if needs == "@" else text.rlike(needs)
-    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
-    return F.when(has, _let(both, places)).otherwise(F.array().cast(SPAN))
+    With `around` also left, the CONTEXT code points before each, and right, the one after it, which are read from the gaps
+    and matches beside it, so that no match reads the text from its beginning.
+    """
+    # matches have two code points at least, so that many of them fill the context
+    some = f"transform(sequence(greatest(i - {CONTEXT // 2}, 0), i), j -> concat(right(get(s.gaps, j), {CONTEXT}), if(j < i, right(get(s.hits, j), {CONTEXT}), '')))"
+    left = f"if(char_length(get(s.gaps, i)) >= {CONTEXT}, right(get(s.gaps, i), {CONTEXT}), right(array_join({some}, ''), {CONTEXT})) AS left"
+    right = "left(concat(left(get(s.gaps, i + 1), 1), left(coalesce(get(s.hits, i + 1), ''), 1)), 1) AS right"
+    start = "get(before, i) + char_length(get(s.gaps, i))"
+    hit = f"struct({start} AS start, {start} + char_length(h) AS stop, h AS m{f', {left}, {right}' if around else ''})"
+    lengths = "transform(s.hits, (h, i) -> char_length(get(s.gaps, i)) + char_length(h))"
+    none = f"cast(array() AS {SPAN_AROUND if around else SPAN})"
+    placed = let_sql(prefix_sql(lengths, "{a} + {x}"), "before", f"transform(s.hits, (h, i) -> {hit})")
+    both = f"struct(regexp_extract_all(text, r'{pattern}', 0) AS hits, split(text, r'{pattern}', -1) AS gaps)"
+    has = "contains(text, '@')" if needs == "@" else f"text RLIKE r'{needs}'"
+    return F.expr(f"if({has}, {let_sql(both, 's', f'if(size(s.hits) = 0, {none}, {placed})')}, {none})")
 
 
 def _digits(m: Column) -> Column:
@@ -117,11 +119,10 @@ def _passes(kind: str, m: Column) -> Column:
     return size.between(9, 15)
 
 
-def _features(text: Column, kind: str, span: Column) -> dict[str, Column]:
+def _features(kind: str, span: Column) -> dict[str, Column]:
     m = span["m"]
     digits = _digits(m)
-    left = F.lower(F.substring(text, F.greatest(span["start"] - CONTEXT, F.lit(0)) + 1, F.least(span["start"], F.lit(CONTEXT))))  # type: ignore[arg-type]
-    right = F.substring(text, span["stop"] + 1, F.lit(1))  # type: ignore[arg-type]
+    left, right = F.lower(span["left"]), span["right"]
     count = lambda chars: F.char_length(m) - F.char_length(F.translate(m, chars, ""))
     flag = lambda c: c.cast("int")
     return {
@@ -141,21 +142,25 @@ def _features(text: Column, kind: str, span: Column) -> dict[str, Column]:
         **{name: flag(left.rlike(cue)) for name, cue in CUES.items()},
         "left_letter": flag(left.rlike(r"[\p{L}#$€£=%][^\p{L}0-9]?$")),
         "right_letter": flag(right.rlike(r"[\p{L}%€$]")),
+        "domain": flag(m.rlike(DOMAIN)) if kind == "email" else F.lit(0),
     }
 
 
-def _candidates(text: Column, kind: str) -> Column:
+def _candidates(kind: str) -> Column:
     low, high = DIGITS[kind]
-    found = F.array_distinct(F.concat(*[_found(text, p, MORE_NEEDS[kind]) for p in (MORE[kind], *FURTHER.get(kind, ()))]))
+    each = F.array_sort(F.concat(*[_found(p, MORE_NEEDS[kind], around=True) for p in (MORE[kind], *FURTHER.get(kind, ()))]))
+    # equal spans of several generators are neighbours now
+    found = let(each, lambda all_: F.filter(all_, lambda s, i: F.coalesce((F.get(all_, i - 1)["start"] != s["start"]) | (F.get(all_, i - 1)["stop"] != s["stop"]), F.lit(True))))
     colons = lambda m: F.char_length(m) - F.char_length(F.translate(m, ":", ""))
     fits = lambda m: F.char_length(_digits(m)).between(low, high) & ((colons(m) <= COLONS) if kind == "ip" else F.lit(True))
     spans = F.filter(found, lambda s: fits(s["m"]))
-    made = lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), *[c.cast("int").alias(n) for n, c in _features(text, kind, s).items()])
+    made = lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), *[c.cast("int").alias(n) for n, c in _features(kind, s).items()])
     return F.transform(spans, made)
 
 
-def _all_candidates(text: Column) -> Column:
-    return F.concat(*[_candidates(text, k) for k in KINDS])
+def _all_candidates() -> Column:
+    """Every candidate in the column text, with its features."""
+    return F.concat(*[_candidates(k) for k in KINDS])
 
 
 def _made(seed: int = 3, n: int = MADE) -> list[tuple[int, str]]:
@@ -171,7 +176,7 @@ def _made(seed: int = 3, n: int = MADE) -> list[tuple[int, str]]:
 
     out = []
     for _ in range(n):
-        kind = r.randrange(18)
+        kind = r.randrange(20)
         if kind < 3:
             number = r.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"0{d(3)} {d(3)} {d(4)}", f"0{d(2)}/{d(7)}"[:14], f"0{d(9)}"])
             cue = r.choice(["tel", "phone", "call", "mobile", "call me at", "Tel", "fax", "cell"]) + r.choice([": ", " ", "."]) + r.choice(["", " "])
@@ -203,6 +208,10 @@ def _made(seed: int = 3, n: int = MADE) -> list[tuple[int, str]]:
             number = r.choice([f"{d(r.randint(2, 5))}{r.choice(' -/.')}{d(r.randint(6, 10))}", f"0{d(2)}/{d(7)}", f"{d(3)} {d(2)} {d(7)}", f"0{d(6)}-{d(4)}"])
             lead = r.choice(["order", "invoice", "ref", "isbn", "serial", "ticket", "no", "id", "build", "code"]) + r.choice([" ", ": ", ". ", " #"])
             out.append((0, f"{words(1, 5)} {lead}{number} {words(1, 4)}"))
+        elif kind == 18:
+            out.append((1, f"{words(1, 5)} {word()} at {word()} dot {r.choice(['com', 'org', 'de', 'net', 'fr', 'co dot uk'])} {words(1, 4)}"))
+        elif kind == 19:
+            out.append((0, f"{words(1, 5)} {word()} at {word()} dot {word()} {words(1, 4)}"))
         elif kind in (14, 17):
             part = lambda most: ":".join(f"{r.randrange(1 << 16):x}" for _ in range(r.randint(1, most)))
             out.append((1, f"{words(1, 5)} {r.choice([f'fe80::{part(4)}', f'2001:db8::{part(4)}', f'2a0{d(1)}:{part(2)}::{d(1)}', f'::{part(3)}:{d(1)}', f'2001:{part(2)}::', f'fe80::{d(1)}'])}{r.choice([' ', '. ', ', '])}{words(1, 4)}"))
@@ -212,11 +221,27 @@ def _made(seed: int = 3, n: int = MADE) -> list[tuple[int, str]]:
     return out
 
 
-_fitted: list[boosting.Trees] = []
+_fitted: list[tuple[boosting.Trees, dict[str, float]]] = []
+
 
+def bars(margins: np.ndarray, y: np.ndarray, of: np.ndarray) -> dict[str, float]:
+    """Each kind's bar as log-odds: the least by which PRECISION of the candidates at or above it are positive, counting one
+    negative more, within LEAST and MOST; MOST if there is none."""
+    odds = lambda p: float(np.log(p / (1 - p)))
+    out = {}
+    for kind in KINDS:
+        order = np.argsort(-margins[of == kind])
+        held = margins[of == kind][order]
+        precision = np.cumsum(y[of == kind][order]) / (np.arange(len(held)) + 2)
+        # a bar takes in all candidates of its margin
+        last = np.r_[held[1:] != held[:-1], True] if len(held) else np.empty(0, bool)
+        good = held[last & (precision >= PRECISION)]
+        out[kind] = min(max(float(good.min()) if len(good) else odds(MOST), odds(LEAST)), odds(MOST))
+    return out
 
-def fit(spark: SparkSession) -> boosting.Trees:
-    """Trees over the features of candidates in made texts, of which one in four calibrates.
+
+def fit(spark: SparkSession) -> tuple[boosting.Trees, dict[str, float]]:
+    """Trees over the features of candidates in made texts, of which one in four calibrates, and each kind's bar (`bars`).
 
     The texts are the same in every run and nothing of the input is learned from, so a process fits once.
     """
@@ -225,45 +250,74 @@ def fit(spark: SparkSession) -> boosting.Trees:
     packed = "\u0001".join(f"{y}{text}" for y, text in _made())
     rows = spark.range(1).select(F.posexplode(F.split(F.lit(packed), "\u0001")).alias("i", "row"))
     rows = rows.select("i", F.substring("row", 1, 1).cast("int").alias("y"), F.expr("substring(row, 2)").alias("text"))
-    found = rows.select("i", "y", F.explode(_all_candidates(F.col("text"))).alias("c")).select("i", "y", *[F.col(f"c.{n}") for n in NAMES]).collect()
+    found = rows.select("i", "y", F.explode(_all_candidates()).alias("c")).select("i", "y", *[F.col(f"c.{n}") for n in NAMES]).collect()
     x = np.array([[r[n] for n in NAMES] for r in found], float)
     y, aside = np.array([r["y"] for r in found], float), np.array([r["i"] % 4 == 0 for r in found])
-    _fitted.append(boosting.calibrate(boosting.fit(x[~aside], y[~aside], NAMES), x[aside], y[aside]))
+    model = boosting.calibrate(boosting.fit(x[~aside], y[~aside], NAMES), x[aside], y[aside])
+    of = np.array(KINDS)[x[aside][:, [NAMES.index(f"is_{k}") for k in KINDS]].argmax(axis=1)]
+    _fitted.append((model, bars(model.margins(x[aside]), y[aside], of)))
     return _fitted[0]
 
 
-def spans(docs: DataFrame, threshold: float = THRESHOLD, with_text: bool = False) -> DataFrame:
+def spans(docs: DataFrame, threshold: float | None = None, with_text: bool = False) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, base and added, each an array of (kind, start, stop); text if wanted.
 
     base has the matches of the BASE patterns that pass their checks, by kind as in KINDS and then by start. added has
-    the candidates of the MORE generators with a calibrated probability of `threshold` or more that overlap no base
-    span and no better candidate (a larger probability, then an earlier start, then the longer one). Places are code
-    points, stop exclusive. Null text is empty. Rows that repeat are each searched; extra columns are ignored.
+    the candidates of the MORE and FURTHER generators whose calibrated probability reaches their kind's bar, or `threshold`
+    if given, that overlap no base span and no better candidate (a larger probability, then an earlier start, then the
+    longer one). Places are code points, stop exclusive. Null text is empty. Very long texts are searched whole: spans are
+    placed and compared with their neighbours only, in time nearly in proportion to their number. Rows that repeat are each
+    searched; extra columns are ignored; an empty table gives none.
     """
-    model = fit(docs.sparkSession)
+    model, least = fit(docs.sparkSession)
+    if threshold is not None:
+        least = dict.fromkeys(KINDS, float(np.log(threshold / (1 - threshold))))
     rows = columns_of(docs, ["doc_id", "text"], "personal data").select("doc_id", text_of("text").alias("text"))
-    text = F.col("text")
 
     def named(kind: str) -> Column:
-        passed = F.filter(_found(text, BASE[kind], NEEDS[kind]), lambda s: _passes(kind, s["m"]))
+        passed = F.filter(_found(BASE[kind], NEEDS[kind]), lambda s: _passes(kind, s["m"]))
         return F.transform(passed, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
 
-    rated = f"transform(proposed, c -> struct(c.kind AS kind, c.start AS start, c.stop AS stop, {model.sql('c.')} AS p))"
-    bar = float(np.log(threshold / (1 - threshold)))
+    rated = f"transform(proposed, c -> struct(c.start AS start, c.stop AS stop, c.kind AS kind, {model.sql('c.')} AS p))"
     kept = ["doc_id", *["text"] * with_text]
-    found = rows.select(*kept, F.concat(*[named(k) for k in KINDS]).alias("base"), _all_candidates(text).alias("proposed"))
-    seen = found.select(*kept, "base", F.filter(F.expr(rated), lambda c: c["p"] >= bar).alias("likely"))
+    found = rows.select(*kept, F.concat(*[named(k) for k in KINDS]).alias("base"), _all_candidates().alias("proposed"))
 
-    def meets(a: Column, b: Column) -> Column:
-        return (a["start"] < b["stop"]) & (b["start"] < a["stop"])
+    def reaches(c: Column) -> Column:
+        bar = F.lit(least[KINDS[0]])
+        for kind in KINDS[1:]:
+            bar = F.when(c["kind"] == kind, least[kind]).otherwise(bar)
+        return c["p"] >= bar
 
     def better(o: Column, c: Column) -> Column:
         return (o["p"] > c["p"]) | ((o["p"] == c["p"]) & ((o["start"] < c["start"]) | ((o["start"] == c["start"]) & ((o["stop"] > c["stop"]) | ((o["stop"] == c["stop"]) & (o["kind"] < c["kind"]))))))
 
-    free = F.filter("likely", lambda c: ~F.exists("base", lambda b: meets(b, c)))
-    alone = seen.withColumn("likely", free)
-    best = F.filter("likely", lambda c: ~F.exists("likely", lambda o: meets(o, c) & better(o, c)))
-    return alone.select(*kept, "base", F.transform(best, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["stop"].alias("stop"))).alias("added"))
+    def of(spans_: Column, name: str) -> Column:
+        return F.transform(spans_, lambda s: s[name])
+
+    def free(likely: Column) -> Column:
+        """Candidates, by start, that overlap no base span: none of those that begin before its stop ends after its start."""
+        base = F.array_sort(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))))
+        reach = F.struct(tops(of(base, "stop")).alias("tops"), ranks(of(base, "start"), of(likely, "stop"), equal=False).alias("before"))
+        alone = let(reach, lambda r: F.filter(likely, lambda c, i: F.get(r["tops"], F.get(r["before"], i)) <= c["start"]))
+        return F.when((F.size(likely) == 0) | (F.size("base") == 0), likely).otherwise(alone)
+
+    def best(alone: Column) -> Column:
+        """Candidates, by start, that no better one overlaps: those that may overlap one lie between two places."""
+
+        def judged(r: Column) -> Column:
+            # the first candidate up to which one ends after the start, and the first that begins at the stop or later
+            low = ranks(F.slice(r["tops"], F.lit(2), F.size(alone)), of(alone, "start"), equal=True)
+            return let(low, lambda lows: F.filter(alone, lambda c, i: ~F.exists(F.sequence(F.get(lows, i), F.get(r["high"], i) - 1), lambda j: rival(F.get(alone, j), c))))
+
+        def rival(o: Column, c: Column) -> Column:
+            return (o["start"] < c["stop"]) & (c["start"] < o["stop"]) & better(o, c)
+
+        reach = F.struct(tops(of(alone, "stop")).alias("tops"), ranks(of(alone, "start"), of(alone, "stop"), equal=False).alias("high"))
+        return F.when(F.size(alone) < 2, alone).otherwise(let(reach, judged))
+
+    seen = found.select(*kept, "base", F.array_sort(F.filter(F.expr(rated), reaches)).alias("likely"))
+    chosen = let(let(F.col("likely"), free), best)
+    return seen.select(*kept, "base", F.transform(chosen, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["stop"].alias("stop"))).alias("added"))
 
 
 def _joined(found: Column) -> Column:
@@ -281,14 +335,22 @@ def digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat(*[F.array_sort(e) for e in each])).alias("spans"))
 
 
-def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id and text with every span (see `spans`) replaced by <KIND>; where spans overlap, one mark covers them."""
+def redact(docs: DataFrame, threshold: float | None = None) -> DataFrame:
+    """doc_id and text with every span (see `spans`) replaced by <KIND>; where spans overlap, one mark covers them.
+
+    The text is cut into segments once, and what stands between spans is taken from those.
+    """
     ordered = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
 
-    def step(so_far: Column, s: Column) -> Column:
-        again = s["start"] < so_far["at"]
-        gap = F.substring(F.col("text"), so_far["at"] + 1, s["start"] - so_far["at"])  # type: ignore[arg-type]
-        return F.struct(F.greatest(so_far["at"], s["stop"]).alias("at"), F.when(again, so_far["out"]).otherwise(F.concat(so_far["out"], gap, F.lit("<"), F.upper(s["kind"]), F.lit(">"))).alias("out"))
+    def marked(r: Column) -> Column:
+        spans_, covered, cut = r["spans"], r["covered"], r["cut"]
+
+        def part(s: Column, i: Column) -> Column:
+            mark = F.concat(piece(cut, F.get(covered, i), s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
+            return F.when(s["start"] < F.get(covered, i), F.lit("")).otherwise(mark)
+
+        tail = piece(cut, F.get(covered, F.size(spans_)), F.char_length("text"))
+        return F.concat(F.array_join(F.transform(spans_, part), ""), tail)
 
-    walked = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda x: F.concat(x["out"], F.substring(F.col("text"), x["at"] + 1, F.char_length("text"))))  # type: ignore[arg-type]
-    return spans(docs, threshold, with_text=True).select("doc_id", walked.alias("text"))
+    reach = let(ordered, lambda o: F.struct(o.alias("spans"), tops(F.transform(o, lambda s: s["stop"])).alias("covered"), segments(F.col("text")).alias("cut")))
+    return spans(docs, threshold, with_text=True).select("doc_id", F.when(F.size("base") + F.size("added") == 0, F.col("text")).otherwise(let(reach, marked)).alias("text"))
