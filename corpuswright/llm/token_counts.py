@@ -6,6 +6,7 @@ import base64
 import math
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -14,15 +15,20 @@ from pyspark.sql import functions as F
 from .common import columns_of, text_of
 from .token_ids import chunks, default_vocabulary
 
-#: Pre-tokens whose counts a worker remembers, at most; then its memory starts anew.
-REMEMBER = 400_000
+#: What a worker remembers, at most: nodes of its trie (some 60 MB) and bytes of pre-tokens with their counts, each taken with
+#: ENTRY bytes besides its characters; then both start anew. Pre-tokens have no nodes beyond their first LONG bytes.
+NODES, REMEMBER, ENTRY, LONG = 400_000, 48 << 20, 160, 64
 SCHEMA = "doc_id long, n_tokens long, n_pretokens long, n_bytes long"
 #: A pre-token is a run of letters, of digits, of other signs, each with a space before it if there is one, or of white space.
 _PRETOKEN = re.compile(r" ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+|.", re.S)
 
 
 class Unigram:
-    """Byte strings with log-scores; a text's tokens are the pieces of its best-scoring cut, fewest on a tie."""
+    """Byte strings with log-scores; a text's tokens are the pieces of its best-scoring cut, fewest on a tie.
+
+    Pre-tokens are inserted in a trie of bytes. A node has the forward score of the prefix that leads to it, which is worked
+    out once, when the node is made, however many pre-tokens share the prefix; a terminal node has its pre-token's count.
+    """
 
     def __init__(self, folder: str):
         with open(os.path.join(folder, "byte_bpe_50k.tiktoken"), "rb") as f:
@@ -31,43 +37,72 @@ class Unigram:
         total = math.log(sum(1 / (r + 10) for r in ranks.values()))
         self.score = {piece: -math.log(r + 10) - total for piece, r in ranks.items()}
         self.longest = max(map(len, self.score))
-        # tails[x]: the sizes of pieces that end in byte x, and begin anywhere
+        # ends[xy]: the sizes of pieces that end in the bytes x and y, and begin anywhere
         self.ends: dict[bytes, list[int]] = {}
         for piece in self.score:
             self.ends.setdefault(piece[-2:], []).append(len(piece))
         self.ends = {k: sorted(set(v)) for k, v in self.ends.items()}
+        self.forget()
+
+    def forget(self) -> None:
+        """Begins with an empty trie."""
         self.known: dict[str, int] = {}
+        self.held = 0
+        self.child: dict[int, int] = {}  # node * 256 + byte: the node below
+        self.best = array("d", [0.0])  # by node: the forward score
+        self.pieces = array("q", [0])  # by node: its pieces
+        self.terminal = array("q", [0])  # by node: the count of the pre-token that ends there, or -1
+
+    def _forward(self, body: bytes, stop: int, best: list[float], pieces: list[int]) -> tuple[float, int]:
+        """Forward score and pieces of the first `stop` bytes, from those of all shorter prefixes."""
+        high, few = -math.inf, 0
+        tail = body[max(0, stop - 2) : stop]
+        for size in (1, *(self.ends.get(tail, ()) if len(tail) == 2 else ())):
+            if size > stop:
+                break
+            if (s := self.score.get(body[stop - size : stop])) is not None:
+                here, n = best[stop - size] + s, pieces[stop - size] + 1
+                if here > high or (here == high and n < few):
+                    high, few = here, n
+        return high, few
+
+    def insert(self, body: bytes) -> int:
+        """The tokens of a pre-token; its nodes are in the trie from then on."""
+        child, best, pieces = self.child, [0.0], [0]
+        node = 0
+        for stop, byte in enumerate(body, 1):
+            below = child.get(node << 8 | byte) if node >= 0 else None
+            if below is not None:
+                node = below
+                best.append(self.best[node])
+                pieces.append(self.pieces[node])
+                continue
+            high, few = self._forward(body, stop, best, pieces)
+            best.append(high)
+            pieces.append(few)
+            if node < 0 or stop > LONG or len(self.best) >= NODES:
+                node = -1  # beyond the trie: scored, but not kept
+                continue
+            below = child[node << 8 | byte] = len(self.best)
+            self.best.append(high)
+            self.pieces.append(few)
+            self.terminal.append(-1)
+            node = below
+        if node >= 0:
+            self.terminal[node] = pieces[-1]
+        return pieces[-1]
 
     def learn(self, words: set[str]) -> None:
-        """Counts new pre-tokens: in sorted order they walk a trie depth first, and the forward scores of the prefix that
-        a pre-token shares with the one before stay on the path, so each trie node is scored once."""
-        if len(self.known) > REMEMBER:
-            self.known.clear()
-        score, ends = self.score, self.ends
-        path, before = [(0.0, 0)], b""  # for each prefix of the path: best score, pieces (negative, so that fewer win)
-        for word, body in sorted(((w, w.encode("utf-8", "surrogatepass")) for w in words), key=lambda x: x[1]):
-            shared = len(os.path.commonprefix((before, body))) if before else 0
-            del path[shared + 1 :]
-            for stop in range(shared + 1, len(body) + 1):
-                best = (-math.inf, 0)
-                tail = body[max(0, stop - 2) : stop]
-                sizes = ends.get(tail, ()) if len(tail) == 2 else ()
-                for size in (1, *sizes):
-                    if size > stop:
-                        break
-                    if (s := score.get(body[stop - size : stop])) is not None:
-                        from_, pieces = path[stop - size]
-                        if (here := (from_ + s, pieces - 1)) > best:
-                            best = here
-                path.append(best)
-            self.known[word] = -path[len(body)][1]
-            before = body
+        """Counts new pre-tokens."""
+        for word in words:
+            self.known[word] = self.insert(word.encode("utf-8", "surrogatepass"))
+            self.held += ENTRY + len(word)
 
     def counts(self, texts: list[str]) -> list[tuple[int, int]]:
         """Tokens and pre-tokens of each text."""
         split = [_PRETOKEN.findall(t) for t in texts]
-        if len(self.known) > REMEMBER:
-            self.known.clear()
+        if self.held > REMEMBER or len(self.best) >= NODES:
+            self.forget()
         self.learn(set().union(*split).difference(self.known))
         known = self.known.__getitem__
         return [(sum(map(known, parts)), len(parts)) for parts in split]
@@ -88,7 +123,8 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     A text is cut into pre-tokens, and each into the pieces of the byte vocabulary whose scores add up to most; single
     bytes are pieces, so every text has a cut. A long run without a break is one pre-token. Null or empty text has no
-    tokens. Rows are counted one by one in whole, nothing moves between tasks; extra columns are ignored.
+    tokens. Rows are counted one by one in whole, nothing moves between tasks; extra columns are ignored. A worker's trie is
+    bounded in bytes (NODES, REMEMBER); an empty table gives none.
     """
     folder = vocabulary or default_vocabulary()
 
