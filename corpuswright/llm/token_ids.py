@@ -10,8 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Words whose ids are remembered, at most; then the memory starts anew.
-REMEMBER = 250_000
+#: Bytes of words and ids that are remembered, each word with ENTRY bytes besides; then the memory starts anew.
+REMEMBER, ENTRY = 48 << 20, 160
 #: Beyond these letters the splitting pattern's Unicode tables may differ between libraries, so the tokenizer itself splits.
 _PLAIN_END = "ɏ"
 
@@ -43,6 +43,7 @@ class ByteBpe:
         self.folder, self.own = folder, None
         self.strange = re.compile(f"[^\0-{_PLAIN_END}]").search
         self.words: dict[str, bytes | None] = {}
+        self.held = 0
         self.opens = np.zeros(max(ranks.values()) + 1, bool)  # ids whose bytes begin with a space
         for token, rank in ranks.items():
             self.opens[rank] = token[:1] == b" "
@@ -69,19 +70,22 @@ class ByteBpe:
         """Encodes new words in one call: each begins with a space, and no id inside a word does."""
         edged = {w for w in words if not w or w[0].isspace() or w[-1].isspace()}
         self.words.update(dict.fromkeys(edged))
+        self.held += ENTRY * len(words) + sum(map(len, words))
         plain = list(words - edged)
         if not plain:
             return
         ids = np.frombuffer(self._whole(" " + " ".join(plain)), "<u4")
         cuts = (np.flatnonzero(self.opens[ids]) * 4).tolist() + [4 * len(ids)]
         packed = ids.tobytes()
+        self.held += len(packed)
         self.words.update(zip(plain, [packed[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed; all the texts' words are in memory at once."""
         cut = [t.split(" ") if t.isascii() or not self.strange(t) else None for t in texts]
-        if len(self.words) > REMEMBER:
+        if self.held > REMEMBER:
             self.words.clear()
+            self.held = 0
         self._learn(set().union(*[p[1:] for p in cut if p]).difference(self.words))
         known, out = self.words.__getitem__, []
         for text, parts in zip(texts, cut, strict=True):
