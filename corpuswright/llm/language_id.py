@@ -20,8 +20,11 @@ ORDER = 4
 SAMPLE = 2000
 #: More languages than this in the labels are an error rather than a model that no longer fits a worker's memory.
 LANGUAGES = 256
-#: One in so many rows of the sample calibrates instead of being counted.
-CALIBRATE = 4
+#: One in so many rows of the sample calibrates instead of being counted, if its text has so many code points at most: those
+#: texts meet on the driver.
+CALIBRATE, LONGEST = 4, 20_000
+#: Code points that a worker scores at once, about.
+AT_ONCE = 250_000
 #: A prediction less sure than this is rejected; so is a text whose cross-entropy is beyond all but one in a thousand
 #: calibration texts by more than SLACK nats a character.
 SURE, SLACK = 0.5, 1.0
@@ -60,13 +63,14 @@ def characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat[keep], at[starts], counted[starts[1:]] - counted[starts[:-1]]
 
 
-def gram_hashes(points: np.ndarray, order: int) -> np.ndarray:
-    """Hashes of the grams of that order that end at each place; the first order - 1 are of no use."""
-    wide = points.astype(np.uint64) + np.uint64(1)
-    out = np.zeros(len(points), np.uint64)
+def gram_hashes(points: np.ndarray, order: int, places: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the grams of that order that end at each place, or at those given; places below order - 1 are of no use."""
+    places = np.arange(len(points)) if places is None else places
+    out = np.zeros(len(places), np.uint64)
     for back in range(order - 1, -1, -1):
         out *= _A
-        out[back:] += wide[: len(wide) - back] if back else wide
+        out += points[places - back]
+        out += np.uint64(1)
     return mix(out + np.uint64(order))
 
 
@@ -107,14 +111,14 @@ class Model:
         out = np.zeros((len(points), len(self.languages)), np.float32)
         left = np.arange(len(points))
         for order in range(ORDER, 0, -1):
-            at, there = self._find(self.grams[order], gram_hashes(points, order)[left])
+            at, there = self._find(self.grams[order], gram_hashes(points, order, left))
             out[left[there]] += self.logs[order][at[there]]
             left = left[~there]
             if not len(left):
                 return out
             if order > 1:
                 before = np.maximum(left - 1, 0)
-                at, there = self._find(self.contexts[order], gram_hashes(points, order - 1)[before])
+                at, there = self._find(self.contexts[order], gram_hashes(points, order - 1, before))
                 out[left[there]] += self.weights[order][at[there]]
         out[left] += self.floor
         return out
@@ -245,7 +249,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     the table is split; of those, one in CALIBRATE calibrates. None if nothing can be learned.
     """
     key, order = F.crc32(F.col("doc_id").cast("string")), F.xxhash64("doc_id")
-    learned = docs.where((key % 5 != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text", order.alias("_h"), (key % (5 * CALIBRATE) < 5).alias("aside"))
+    learned = docs.where((key % 5 != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text", order.alias("_h"), ((key % (5 * CALIBRATE) < 5) & (F.char_length("text") <= LONGEST)).alias("aside"))
     sizes = learned.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()
     if not sizes:
         return None
@@ -287,7 +291,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
         model = held.value
         for batch in found:
             texts = batch.column(2).to_pylist()
-            parts = [model.predict(some) for some in chunks(texts, 500_000)] if model else [(["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.ones(len(texts), bool))]
+            parts = [model.predict(some) for some in chunks(texts, AT_ONCE)] if model else [(["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.ones(len(texts), bool))]
             names = [x for p in parts for x in p[0]]
             rest = [np.concatenate([p[i] for p in parts]) if parts else np.empty(0, t) for i, t in ((1, float), (2, float), (3, bool))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), *map(pa.array, rest)], [x.split()[0] for x in SCHEMA.split(", ")])
@@ -304,8 +308,13 @@ def language_id(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs without the rows that `identify` rejects, all columns as they were. Rows are judged one by one, in place."""
+    """docs without the rows that `identify` rejects, all columns as they were. Rows are judged one by one, in place.
+
+    If no language can be learned, for want of labels, nothing can be rejected, and all rows stay.
+    """
     model = fit(docs, sample)
+    if model is None:
+        return docs
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.schema
 
@@ -314,7 +323,7 @@ def keep_identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
         for batch in found:
             texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            kept = [not r for some in chunks(texts, 500_000) for r in held.value.predict(some)[3].tolist()] if held.value else [False] * len(texts)
+            kept = [not r for some in chunks(texts, AT_ONCE) for r in held.value.predict(some)[3].tolist()]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(keep, schema)
