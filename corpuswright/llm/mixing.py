@@ -127,21 +127,8 @@ def _slots(spark: SparkSession, lanes: list[tuple[str | None, int, float]], bloc
     return rows.groupBy(F.col("_lane").cast("int").alias("_lane"), F.floor(F.col("_block") / TOGETHER).cast("long").alias("_g")).agg(times.alias("_t"))
 
 
-def scheduled(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD, prefix: str = "") -> DataFrame:
-    """docs with lane, block, place, slot, release and deadline, each name after `prefix`; no row is left out.
-
-    A lane is a source, of which there may be any number; the null source, and where weights are given all sources without
-    one, share the rest lane. Within a lane rows are put in the order of a hash of doc_id and cut into blocks; the place is
-    the row's in its block. Blocks get slots of the `schedule` by the exact weights over the whole horizon; only when a
-    lane runs out do its slots stay empty, so `period` has no effect. The order (slot, place) is the mix: while no
-    lane has run out, each lane's number of blocks in the first t slots differs from its target by less than one. Without
-    weights a source weighs its number of rows to the power TEMPER.
-
-    A lane may hold any part of all rows: its rows are ranked in streams of about STREAM by ranges of the hash, and
-    the streams' sizes, summed up, give each stream its first rank and its blocks' slots. The driver holds the sources
-    and steps through the blocks, HELD of them at once. Null doc_ids rank by an empty id; rows with equal ids stand
-    together, in any order.
-    """
+def _scheduled(docs: DataFrame, weights: dict[str, float] | None, block: int) -> tuple[DataFrame, dict[str, Column]]:
+    """docs' rows, each as one struct _row, with the columns that place them, and lane, block, place, slot, release, deadline."""
     columns_of(docs, ["doc_id", "source"], "mixing")
     lanes = _lanes(docs, weights)
     spark = docs.sparkSession
@@ -183,11 +170,32 @@ def scheduled(docs: DataFrame, weights: dict[str, float] | None = None, block: i
         "release": at["_release"],
         "deadline": at["_deadline"],
     }
-    return found.select("_row.*", *[c.alias(prefix + name) for name, c in out.items()])
+    return found, out
+
+
+def scheduled(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD, prefix: str = "") -> DataFrame:
+    """docs with lane, block, place, slot, release and deadline, each name after `prefix`; no row is left out.
+
+    A lane is a source, of which there may be any number; the null source, and where weights are given all sources without
+    one, share the rest lane. Within a lane rows are put in the order of a hash of doc_id and cut into blocks; the place is
+    the row's in its block. Blocks get slots of the `schedule` by the exact weights over the whole horizon; only when a
+    lane runs out do its slots stay empty, so `period` has no effect. The order (slot, place) is the mix: while no
+    lane has run out, each lane's number of blocks in the first t slots differs from its target by less than one. Without
+    weights a source weighs its number of rows to the power TEMPER.
+
+    A lane may hold any part of all rows: its rows are ranked in streams of about STREAM by ranges of the hash, and
+    the streams' sizes, summed up, give each stream its first rank and its blocks' slots. The driver holds the sources
+    and steps through the blocks, HELD of them at once. Null doc_ids rank by an empty id; rows with equal ids stand
+    together, in any order. A column of docs that has the name of one of the schedule's gives way to it. An empty table gives
+    none.
+    """
+    found, out = _scheduled(docs, weights, block)
+    taken = {(prefix + name).lower() for name in out}
+    own = [F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() not in taken]
+    return found.select(*own, *[c.alias(prefix + name) for name, c in out.items()])
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
     """docs in the order of the mix, with its own columns and all rows: consecutive files hold consecutive slots."""
-    order = scheduled(docs, weights, block, period, prefix="__mix_")
-    ordered = order.orderBy("__mix_slot", "__mix_place")
-    return ordered.drop(*[c for c in ordered.columns if c.startswith("__mix_")])
+    found, out = _scheduled(docs, weights, block)
+    return found.orderBy(out["slot"], out["place"]).select("_row.*")
