@@ -77,7 +77,7 @@ def read(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """The block elements, the first of which is the root, and the text runs in page order with their element.
 
     A run ends wherever a block begins or ends; inline elements add to it and br parts its words. Character references
-    are decoded and white space is one space. Scripts, styles, comments, the head's title and the like are no text;
+    are decoded, none of them over a tag, and white space is one space. Scripts, styles, comments, the head's title and the like are no text;
     formulas and an object's fallback are, and an xmp element's content as it stands.
     """
     none: frozenset = frozenset()
@@ -90,7 +90,7 @@ def read(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
     def flush() -> None:
         nonlocal linked
         if held:
-            if text := " ".join(unescape("".join(held)).split()):
+            if text := " ".join("".join(held).split()):
                 node = nodes[stack[-1]]
                 runs.append((stack[-1], text))
                 n = len(text)
@@ -110,12 +110,12 @@ def read(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
     for m in _TOKEN.finditer(html):
         if m.start() > at:
             piece = html[at : m.start()]
-            held.append(piece)
+            held.append(unescape(piece))
             if links:
                 linked += len(piece.strip())
         at = m.end()
         if m[1] and m[1].lower() == "xmp":
-            held.append(f" {_XMP.sub('', m[0]).replace('&', '&amp;')} ")
+            held.append(f" {_XMP.sub('', m[0])} ")
             continue
         if m[3] is None and m[6] is None:
             continue
@@ -165,7 +165,7 @@ def read(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if tag not in VOID:
             stack.append(len(nodes) - 1)
     if at < len(html):
-        held.append(html[at:])
+        held.append(unescape(html[at:]))
     flush()
     for i in range(len(nodes) - 1, -1, -1):
         node = nodes[i]
