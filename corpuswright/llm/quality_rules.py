@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, columns_of, salt_of, salted, table, text_of
+from .common import columns_of, looked_up, table, text_of
 
 #: White space that parts words: space, and tab to carriage return.
 SPACE = "[\\x20\\x09-\\x0D]+"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A host goes if its failure rate is above this, by the lower end of its posterior.
+#: Further rules, which only hosts are judged by: symbols in a hundred words, repeated lines in a hundred, letters a word.
+SYMBOL_PERCENT, LINE_PERCENT, WORD_CHARS = 10, 30, (2, 12)
+#: A host goes if its failure rate by any rule is above this, by the lower end of its posterior.
 HOST_RATE = 0.5
 #: The lower end is so many standard deviations below the posterior mean: about the 5 % quantile.
 HOST_SURE = 1.645
@@ -53,7 +55,7 @@ def _repeat_words(words: Column) -> Column:
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, source and what the rules read: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed.
+    """doc_id, source and what the rules read: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed.
 
     Null text counts as empty and fails. Null sources form one host. Rows that repeat a doc_id are measured each.
     """
@@ -67,7 +69,7 @@ def measures(docs: DataFrame) -> DataFrame:
         )
 
     def of_lines(lines: Column) -> Column:
-        return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
+        return F.struct(F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"))
 
     text = F.col("text")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
@@ -75,12 +77,12 @@ def measures(docs: DataFrame) -> DataFrame:
         "doc_id",
         "source",
         _let(_words(text), of_words).alias("w"),
-        _let(lines, of_lines).alias("n_dup_lines"),
+        _let(lines, of_lines).alias("l"),
         (F.char_length(text) - F.char_length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
     )
     failed = (F.col("w.n_words") < MIN_WORDS) | (100 * F.col("w.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("w.n_words"))
     return seen.select(
-        "doc_id", "source", F.col("w.n_words").alias("n_words"), F.col("w.word_chars").alias("word_chars"), "n_symbols", "n_dup_lines",
+        "doc_id", "source", F.col("w.n_words").alias("n_words"), F.col("w.word_chars").alias("word_chars"), "n_symbols", "l.n_lines", "l.n_dup_lines",
         F.col("w.n_repeat_words").alias("n_repeat_words"), failed.alias("base_failed"),
     )
 
@@ -97,38 +99,57 @@ def _prior(n: float | None, k: float | None, kk: float | None, nn: float | None,
     return mean, min(1000.0, max(1.0, within / max(spread, 1e-9) - 1))
 
 
+def rules(measured: DataFrame) -> DataFrame:
+    """measured with a column for each further rule, rule_symbols, rule_lines and rule_words: whether the row fails it."""
+    words = F.col("n_words")
+    return measured.withColumns(
+        {
+            "rule_symbols": 100 * F.col("n_symbols") > SYMBOL_PERCENT * words,
+            "rule_lines": 100 * F.col("n_dup_lines") > LINE_PERCENT * F.col("n_lines"),
+            "rule_words": (F.col("word_chars") < WORD_CHARS[0] * words) | (F.col("word_chars") > WORD_CHARS[1] * words),
+        }
+    )
+
+
 def host_verdicts(measured: DataFrame, rate: float = HOST_RATE, sure: float = HOST_SURE) -> DataFrame:
-    """source, host_rows, host_failed, host_rate, host_ok: failures by host, shrunk with an empirical beta prior.
+    """source, host_rows, host_failed (by base_failed), host_rate, host_ok: failures by host and rule, each rule's rates
+    shrunk with its own empirical beta prior. Rules are base_failed and those of the columns that begin with rule_.
 
-    The prior's mean is the corpus-wide failure rate; its strength comes from the spread of the host rates beyond
+    A prior's mean is the corpus-wide failure rate; its strength comes from the spread of the host rates beyond
     what binomial sampling alone gives (method of moments, hosts weighted by rows). A host with few rows keeps close
-    to the mean; one with many speaks for itself. A host of any size passes unless its posterior mean, host_rate, less
-    `sure` of the posterior's standard deviations is above `rate`, so few rows need a clearer rate than many.
+    to the mean; one with many speaks for itself. A host of any size passes unless its posterior mean by some rule, less
+    `sure` of the posterior's standard deviations, is above `rate`, so few rows need a clearer rate than many. host_rate is
+    the largest posterior mean.
     """
-    hosts = measured.groupBy("source").agg(
-        F.count(F.lit(1)).alias("host_rows"), F.sum(F.col("base_failed").cast("long")).alias("host_failed")
-    )
-    n, k = F.col("host_rows").cast("double"), F.col("host_failed").cast("double")
-    total = hosts.agg(
-        F.sum(n).alias("n"), F.sum(k).alias("k"), F.sum(k * k / n).alias("kk"), F.count(F.lit(1)).alias("hosts"), F.sum(n * n).alias("nn")
-    )
-    seen = total.first()
-    mean, strength = _prior(seen["n"], seen["k"], seen["kk"], seen["nn"], seen["hosts"])
-    posterior = (F.col("host_failed") + F.lit(mean * strength)) / (F.col("host_rows") + F.lit(strength))
-    spread = F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / (F.col("host_rows") + F.lit(strength + 1)))
-    ok = F.col("host_rate") - sure * spread <= rate
-    return hosts.withColumn("host_rate", posterior).withColumn("host_ok", ok)
+    named = ["base_failed", *[c for c in measured.columns if c.startswith("rule_")]]
+    failed = {c: f"host_{c.removeprefix('base_')}" for c in named}
+    hosts = measured.groupBy("source").agg(F.count(F.lit(1)).alias("host_rows"), *[F.sum(F.col(c).cast("long")).alias(k) for c, k in failed.items()])
+    n = F.col("host_rows").cast("double")
+    sums = [F.sum(n).alias("n"), F.count(F.lit(1)).alias("hosts"), F.sum(n * n).alias("nn")]
+    for k in failed.values():
+        sums += [F.sum(F.col(k).cast("double")).alias(f"k_{k}"), F.sum(F.col(k).cast("double") * F.col(k) / n).alias(f"kk_{k}")]
+    seen = hosts.agg(*sums).first()
+    rates, fine = [], F.lit(True)
+    for k in failed.values():
+        mean, strength = _prior(seen["n"], seen[f"k_{k}"], seen[f"kk_{k}"], seen["nn"], seen["hosts"])
+        posterior = (F.col(k) + F.lit(mean * strength)) / (F.col("host_rows") + F.lit(strength))
+        spread = F.sqrt(posterior * (1 - posterior) / (F.col("host_rows") + F.lit(strength + 1)))
+        rates.append(posterior)
+        fine &= posterior - sure * spread <= rate
+    most = F.greatest(*rates) if len(rates) > 1 else rates[0]
+    return hosts.select("source", "host_rows", "host_failed", most.alias("host_rate"), fine.alias("host_ok"))
 
 
 def quality_rules(docs: DataFrame, rate: float = HOST_RATE) -> DataFrame:
     """The measures of each row of docs (doc_id, text, source), with host_rate and kept.
 
-    kept is false if the row fails by itself, else its host's verdict. The measures are computed once, into a table
-    in the shared folder. The look-up by host is salted, as one host may hold a third of all rows; hosts may be many,
-    so nothing is broadcast. An empty table gives an empty result; extra columns are ignored.
+    kept is false if the row fails by itself, else its host's verdict by base_failed and the further `rules`. The measures
+    are computed once, into a table in the shared folder. Hosts may be many, and one may hold a third of all rows: rows look
+    theirs up by `looked_up`. Rows without a source are one host. Very long texts are measured whole. An empty table gives
+    an empty result; extra columns are ignored.
     """
     measured = table(measures(docs), "quality")
-    hosts = salted(host_verdicts(measured, rate).select(F.coalesce("source", F.lit("")).alias("_h"), F.col("source").isNull().alias("_n"), "host_rate", "host_ok"))
-    rows = measured.withColumns({"_h": F.coalesce("source", F.lit("")), "_n": F.col("source").isNull(), "_salt": salt_of(F.col("doc_id"), n=SALTS)})
-    found = rows.join(hosts, ["_h", "_n", "_salt"], "left")
-    return found.withColumn("kept", ~F.col("base_failed") & F.coalesce("host_ok", F.lit(True))).drop("_h", "_n", "_salt", "host_ok")
+    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))  # null isn't the empty name
+    hosts = table(host_verdicts(rules(measured), rate).select(key.alias("_h"), "host_rows", "host_rate", "host_ok"), "hosts")
+    found = looked_up(measured.withColumn("_h", key), hosts, ["_h"], "host_rows", F.col("doc_id"))
+    return found.withColumn("kept", ~F.col("base_failed") & F.coalesce("host_ok", F.lit(True))).drop("_h", "host_rows", "host_ok")
