@@ -112,3 +112,49 @@ def test_formulas_fallbacks_and_xmp_stay(model):
     page = f"<article><p>{TEXT} Then <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.<object data=a.swf><param name=b>No player.</object><xmp class='c>'><b>bold</b> &amp; so</xmp><script>no</script></p></article>"
     assert H.extract([page], model)[0] == f"{TEXT}Then x=2 holds.No player. <b>bold</b> &amp; so".replace("  ", " ")
     assert "end" in H.extract([f"<article><p>{TEXT}</p><xmp>end"], model)[0]
+
+
+def test_references_do_not_span_tags(model):
+    assert dom.read("<p>AT&<b>lt;</b> &am<i>p;</i> &lt;<u>b</u>&gt; a&amp<b>b</b></p>")[1][0][1] == "AT&lt; &amp; <b> a&b"
+
+
+def test_decoding_equals_exhaustive_search():
+    """On small trees: every choice of whole-in, whole-out and parted elements, scored as the decoder's contract says."""
+    r = random.Random(3)
+
+    def scores(nodes, held, total, i):
+        """(score, kept) of the best choice for the subtree of i, by trying all."""
+        family, todo = [], [i]
+        while todo:
+            j = todo.pop()
+            family.append(j)
+            todo += nodes[j].children
+        options = [(total[i], {j: True for j in family}), (-total[i], {j: False for j in family})]
+        if nodes[i].children:
+            parts = [scores(nodes, held, total, c) for c in nodes[i].children]
+            several = sum(nodes[c].chars > 0 for c in nodes[i].children) + (nodes[i].own > 0) > 1
+            own = abs(held[i]) if nodes[i].own else H.KEPT * max(held[i], 0.0)
+            kept = {i: held[i] > 0}
+            for p in parts:
+                kept |= p[1]
+            options.append((sum(p[0] for p in parts) + own - H.PART * several, kept))
+        return max(options, key=lambda o: o[0])
+
+    for _ in range(300):
+        nodes = [dom.Node("#root", -1, 0, frozenset(), frozenset())]
+        for i in range(1, r.randint(2, 8)):
+            up = r.randrange(i)
+            nodes.append(dom.Node("div", up, 0, frozenset(), frozenset(), own=r.choice([0, 5])))
+            nodes[up].children.append(i)
+        for i in range(len(nodes) - 1, -1, -1):
+            nodes[i].chars += nodes[i].own
+            if i:
+                nodes[nodes[i].parent].chars += nodes[i].chars
+        margins = [r.uniform(-8, 8) for _ in nodes]
+        held = [max(-H.LIMIT, min(H.LIMIT, m)) if n.chars else 0.0 for n, m in zip(nodes, margins, strict=True)]
+        total = list(held)
+        for i in range(len(nodes) - 1, 0, -1):
+            total[nodes[i].parent] += total[i]
+        wanted = scores(nodes, held, total, 0)[1]
+        found = H.decode(nodes, margins)
+        assert all(found[i] == wanted[i] for i, n in enumerate(nodes) if n.own)

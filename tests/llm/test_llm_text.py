@@ -317,3 +317,55 @@ def test_each_kind_has_its_bar(spark):
     assert pii.bars(many, np.ones(120), np.array(["ip"] * 120))["ip"] == 2.0 and least < 2 < most
     _, bars = pii.fit(spark)
     assert set(bars) == set(pii.KINDS) and all(least <= b <= most for b in bars.values())
+
+
+def test_hosts_are_judged_by_every_rule(spark):
+    good = " ".join(f"word{i}" for i in range(60))
+    texts = {"fine": good, "signs": good + " #" * 9, "lines": good + "\nthe same line\n" * 3 + "the same line\n" * 5, "glued": " ".join(f"{i:013d}" for i in range(60)), "one": " ".join("a" for _ in range(49)) + " b" * 2}
+    rows = [(i, text, name) for name, text in texts.items() for i in range(40)] + [(i, good, f"h{i % 7}") for i in range(300)] + [(1, "#", "h1")]
+    found = Q.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.source for r in found if r.kept} == {"fine"} | {f"h{i}" for i in range(7)}
+    assert not any(r.base_failed for r in found if r.source in ("signs", "lines", "glued"))
+
+
+def test_mixing_takes_clashing_names(spark):
+    rows = [(i, f"s{i % 3}", i, i, i, i) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, slot long, __mix_slot long, _row long, Lane long")
+    found = M.scheduled(df, block=4)
+    assert found.columns == ["doc_id", "source", "__mix_slot", "_row", "lane", "block", "place", "slot", "release", "deadline"] and found.count() == 40
+    mixed = M.mixed(df, block=4)
+    assert mixed.columns == df.columns and sorted(map(tuple, mixed.collect())) == rows
+
+
+def test_trie_scores_each_prefix_once(monkeypatch):
+    model = T.Unigram(default_vocabulary())
+    made = []
+    forward = model._forward
+    monkeypatch.setattr(model, "_forward", lambda body, stop, *rest: made.append(body[:stop]) or forward(body, stop, *rest))
+    words = ["the", "there", "them", "then", "he", "x" * 500]
+    counts = {w: model.insert(w.encode()) for w in words}
+    short = [p for p in made if len(p) <= T.LONG]
+    assert len(short) == len(set(short)) == len({w[:k] for w in words for k in range(1, min(len(w), T.LONG) + 1)})
+    assert len(model.best) == len(short) + 1 and sum(c >= 0 for c in model.terminal[1:]) == len(words) - 1
+    before = len(made)
+    assert {w: model.insert(w.encode()) for w in words[:-1]} == {w: counts[w] for w in words[:-1]} and len(made) == before
+    model.forget()
+    monkeypatch.setattr(T, "NODES", 4)
+    assert {w: model.insert(w.encode()) for w in words} == counts and len(model.best) == 4
+
+
+def test_memory_of_words_is_bounded_in_bytes(monkeypatch):
+    from corpuswright.llm import token_ids
+
+    monkeypatch.setattr(token_ids, "REMEMBER", 10_000)
+    bpe, plain = token_ids.ByteBpe(default_vocabulary()), token_ids.ByteBpe(default_vocabulary())
+    r = random.Random(1)
+    for _ in range(20):
+        text = " ".join("".join(r.choices("abcdefgh", k=300)) for _ in range(20))
+        assert bpe.packed([text]) == [plain._whole(text)]
+        assert sum(map(len, bpe.words)) <= 10_000 + len(text)
+
+
+def test_without_labels_all_documents_stay(spark):
+    df = spark.createDataFrame([(1, "hello", None), (2, None, None)], "doc_id long, text string, lang string")
+    assert L.keep_identified(df).count() == 2
