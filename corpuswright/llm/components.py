@@ -23,8 +23,8 @@ def _roots(parents: DataFrame) -> DataFrame:
 def merge(labels: DataFrame | None, edges: DataFrame) -> DataFrame | None:
     """labels (node, root: the smallest node of its component; nodes without links may be absent) after more edges (a, b).
 
-    The tables edges and labels are removed. Each round every node joins its smallest neighbour, chains are followed to their ends, and the edges move to the ends;
-    a component at least halves in each round. Hubs are aggregated before the shuffle or meet in joins only, which Spark
+    The tables edges and labels are removed. Each round every node joins its smallest neighbour, chains are followed to
+    their ends, and the edges move to the ends; a component at least halves in each round. Hubs are aggregated before the shuffle or meet in joins only, which Spark
     splits where one key is large. Every step is a table in the shared folder.
     """
 

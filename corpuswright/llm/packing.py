@@ -224,11 +224,12 @@ def _neighbours(short: DataFrame, group: int) -> DataFrame:
 def pack(docs: DataFrame, vocabulary: str | None = None, size: int = SEQUENCE, group: int = GROUP) -> DataFrame:
     """The pieces of docs (see `pieces`), each with its sequence_id and the offset there, in few sequences.
 
-    Short pieces form groups of `group` neighbours in the order of docs, so that sequences hold what stood together there. Each group is packed best-fit decreasing. Dual feasible functions bound the bins that a group
-    needs. Groups that reach the bound, if need be after their emptiest bins are filled anew (`tighten`), are done. Others
+    Short pieces form groups of `group` neighbours in the order of docs, so that sequences hold what stood together there.
+    Each group is packed best-fit decreasing. Dual feasible functions bound the bins that a group needs. Groups that reach the bound, if need be after their emptiest bins are filled anew (`tighten`), are done. Others
     free their emptiest bins; the documents of those of several groups meet in a pool of about `group` and are packed
     again, for up to ROUNDS rounds, the last of which keeps all its bins. Only lengths move, never texts. A row is packed
-    once, also if its doc_id repeats or is null.
+    once, also if its doc_id repeats or is null; of equal lengths, which is packed first is open. Very long texts are cut
+    into pieces of `size`. Extra columns are ignored, and an empty table gives none.
     """
     cut = table(pieces(docs, vocabulary, size), "pieces")
     done = [cut.where("sequence_id IS NOT NULL").drop("place")]
