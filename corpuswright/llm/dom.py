@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 from html import unescape
+from zlib import crc32
 
 # Fixed values of HTML: element kinds by name.
 BLOCKS = frozenset(
@@ -25,7 +26,7 @@ _TOKEN = re.compile(
 )
 #: The start and end of an xmp element, whose content is text as it stands.
 _XMP = re.compile(r"\A<xmp(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:>|\Z)|</xmp\s*+>\Z", re.I)
-_ATTRIBUTE = re.compile(r"(class|id|role|data-main)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+_ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-label|data-main)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _PART = re.compile(r"[a-z]+")
 
 # Parts of class, id and role names, by what they tell.
@@ -48,13 +49,18 @@ TAGS = {
     "side": "aside",
     "form": "form button select option textarea label fieldset legend",
 }
+#: Parts of names of three letters or more are hashed into so many features, whether GROUPS has them or not.
+BUCKETS = 48
 _TAG_GROUP = {tag: g for g, tags in TAGS.items() for tag in tags.split()}
 NAMES = [
     *(f"own_{g}" for g in GROUPS), *(f"above_{g}" for g in GROUPS), "is_p", "is_heading", "is_list", "is_table", "depth",
-    "chars", "own_chars", "link_share", "tags_per_char", "words_per_run", "stops_per_word", "children", "siblings", "sibling_p", "place", "share_of_page", "share_of_parent",
+    *(f"name_{i}" for i in range(BUCKETS)), "chars", "own_chars", "link_share", "tags_per_char", "words_per_run", "stops_per_word", "children", "siblings", "sibling_p", "place", "share_of_page", "share_of_parent",
 ]
 
 
+_NO_NAMES = (0.0,) * BUCKETS
+
+
 @dataclass(slots=True)
 class Node:
     tag: str
@@ -62,6 +68,7 @@ class Node:
     depth: int
     groups: frozenset
     above: frozenset
+    names: frozenset = frozenset()
     main: bool | None = None
     own: int = 0  # characters of its own runs
     chars: int = 0  # of all below too
@@ -150,18 +157,20 @@ def read(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     break
                 if nodes[stack[depth]].tag in SCOPES and not (tag in ("td", "th") and nodes[stack[depth]].tag == "tr"):
                     break
-        groups, main = set(), None
+        groups, names, main = set(), set(), None
         if rest:
             for key, value in _ATTRIBUTE.findall(rest):
                 if key.lower() == "data-main":
                     main = "1" in value
                 else:
-                    groups.update(_GROUP[p] for p in _PART.findall(value.lower()) if p in _GROUP)
+                    parts = _PART.findall(value.lower())
+                    groups.update(_GROUP[p] for p in parts if p in _GROUP)
+                    names.update(crc32(p.encode()) % BUCKETS for p in parts if len(p) > 2)
         if g := _TAG_GROUP.get(tag):
             groups.add(g)
         up = nodes[stack[-1]]
         up.children.append(len(nodes))
-        nodes.append(Node(tag, stack[-1], up.depth + 1, frozenset(groups), up.above | up.groups, main if main is not None else up.main))
+        nodes.append(Node(tag, stack[-1], up.depth + 1, frozenset(groups), up.above | up.groups, frozenset(names), main if main is not None else up.main))
         if tag not in VOID:
             stack.append(len(nodes) - 1)
     if at < len(html):
@@ -193,6 +202,7 @@ def features(nodes: list[Node]) -> list[list[float]]:
             [
                 *[float(g in node.groups) for g in GROUPS], *[float(g in node.above) for g in GROUPS],
                 float(node.tag == "p"), float(node.tag in ("h1", "h2", "h3", "h4", "h5", "h6")), float(node.tag in ("ul", "ol", "li", "dl", "dd", "dt")), float(node.tag in ("table", "tr", "td", "th", "tbody", "thead")), float(node.depth),
+                *(map(float, map(node.names.__contains__, range(BUCKETS))) if node.names else _NO_NAMES),
                 float(node.chars), float(node.own), node.linked / chars, node.tags / chars, node.words / max(node.runs, 1), node.stops / max(node.words, 1),
                 float(len(node.children)), float(len(up.children)), float(paragraphs[max(node.parent, 0)]), before / page, node.chars / page, node.chars / max(up.chars, 1),
             ]

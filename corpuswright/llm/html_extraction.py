@@ -15,7 +15,7 @@ from .common import columns_of, text_of
 from .dom import NAMES, Node, features, read
 
 #: Made pages that the trees are fitted on; one in four calibrates. Nothing of the input is learned from.
-PAGES, TREES = 900, 80
+PAGES, TREES = 1200, 100
 #: What an element pays, in log-odds, if its children part ways; evidence of one node counts up to LIMIT.
 PART, LIMIT = 1.0, 6.0
 #: The part of an element's evidence for main text that stands if its children part ways: most of it may still be.
@@ -23,11 +23,29 @@ KEPT = 0.7
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 
+#: Names that made pages use besides those that the features group, by what the element is; some say nothing.
+MORE_NAMES = {
+    "menu": "subnav crumbs hamburger drawer mainmenu quicklinks", "foot": "colophonbar imprint siteinfo bottombar", "advert": "skyscraper billboard adslot outbrain taboola leaderboard partnerlink",
+    "side": "sidecolumn rightrail readmore alsoread recirculation", "notice": "banneralert gdprbox toast announcement", "form": "signupbox optin searchbox", "reader": "commentary guestbook threads ugc",
+    "header": "branding hero pagehead", "share": "sharebar followus socialicons", "main": "storybody copytext richtext chapter bodytext articletext",
+}
+NEUTRAL = "block box module col row inner wrapper panel unit grid cell".split()
+
+
 class _Maker:
-    """Makes pages whose elements are known to be main text or not (attribute data-main)."""
+    """Makes pages whose elements are known to be main text or not (attribute data-main); kinds in `without` aren't made."""
 
-    def __init__(self, seed: int):
+    def __init__(self, seed: int, without: frozenset = frozenset()):
         self.r = random.Random(seed)
+        self.kinds = [k for k in range(9) if k not in without]
+
+    def name(self, kind: str, *known: str | None) -> str | None:
+        """A name for an element of that kind: a known one, another one, or one that says nothing, alone or together."""
+        r = self.r
+        chosen = r.choice(known) if r.random() < 0.7 else r.choice(MORE_NAMES[kind].split())
+        if r.random() < 0.2:
+            chosen = f"{chosen or ''} {r.choice(NEUTRAL)}".strip()
+        return chosen
 
     def words(self, low: int, high: int) -> str:
         r = self.r
@@ -48,33 +66,33 @@ class _Maker:
 
     def boiler(self) -> str:
         r = self.r
-        kind = r.randrange(9)
+        kind = r.choice(self.kinds)
         if kind == 0:
-            return r.choice([self.el("nav", self.links(3, 9), main=False), self.el("div", self.links(3, 9), r.choice(["menu", "nav-main", "topbar", "breadcrumb"]), False)])
+            return r.choice([self.el("nav", self.links(3, 9), main=False), self.el("div", self.links(3, 9), self.name("menu", "menu", "nav-main", "topbar", "breadcrumb"), False)])
         if kind == 1:
-            return self.el(*r.choice([("footer", None), ("div", "footer"), ("div", "copyright")])[:1], "&copy; " + self.words(2, 20), r.choice([None, "footer", "page-footer"]), False)
+            return self.el(*r.choice([("footer", None), ("div", "footer"), ("div", "copyright")])[:1], "&copy; " + self.words(2, 20), self.name("foot", None, "footer", "page-footer"), False)
         if kind == 2:
-            return self.el(r.choice(["div", "div", "section", "p", "aside"]), self.words(2, 60), r.choice(["ad", "ads", "advert", "banner-top", "sponsor", "promo-box"]), False)
+            return self.el(r.choice(["div", "div", "section", "p", "aside"]), self.words(2, 60), self.name("advert", "ad", "ads", "advert", "banner-top", "sponsor", "promo-box"), False)
         if kind == 3:
             tag = r.choice(["aside", "div"])
             title = self.el(r.choice(["h3", "h4"]), self.words(1, 4)) if r.random() < 0.6 else ""
             body = r.choice([self.links(3, 8), f"<p>{self.words(5, 60)}</p>", self.words(3, 60), f"<p>{self.words(20, 120)}</p>" * 2])
-            return self.el(tag, title + body, r.choice(["sidebar", "related", "widget", *[None] * (tag == "aside")]), False)
+            return self.el(tag, title + body, self.name("side", "sidebar", "related", "widget", *[None] * (tag == "aside")), False)
         if kind == 4:
-            return self.el(r.choice(["div", "section", "p"]), self.words(4, 50) + r.choice(["", "<button>OK</button>"]), r.choice(["cookie-notice", "consent", "notice", "alert", "gdpr"]), False)
+            return self.el(r.choice(["div", "section", "p"]), self.words(4, 50) + r.choice(["", "<button>OK</button>"]), self.name("notice", "cookie-notice", "consent", "notice", "alert", "gdpr"), False)
         if kind == 5:
-            return self.el("form", f"<label>{self.words(1, 3)}</label><input><button>{self.words(1, 2)}</button>" + r.choice(["", f"<p>{self.words(3, 20)}</p>"]), r.choice([None, "search", "login", "newsletter"]), False)
+            return self.el("form", f"<label>{self.words(1, 3)}</label><input><button>{self.words(1, 2)}</button>" + r.choice(["", f"<p>{self.words(3, 20)}</p>"]), self.name("form", None, "search", "login", "newsletter"), False)
         if kind == 6:
             each = "".join(self.el(r.choice(["div", "li", "article"]), f"<p>{self.words(3, 80)}</p>", r.choice(["comment", "comment-body", "reply"])) for _ in range(r.randint(1, 6)))
-            return self.el(r.choice(["section", "div", "ol"]), f"<h3>{self.words(1, 3)}</h3>" + each, r.choice(["comments", "comment-list", "discussion"]), False)
+            return self.el(r.choice(["section", "div", "ol"]), f"<h3>{self.words(1, 3)}</h3>" + each, self.name("reader", "comments", "comment-list", "discussion"), False)
         if kind == 7:
-            return self.el("header", r.choice([self.words(1, 6), self.links(2, 6), f"<h2>{self.words(1, 5)}</h2>"]), r.choice([None, "header", "masthead"]), False)
-        return self.el("div", self.links(2, 5), r.choice(["share", "social"]), False)
+            return self.el("header", r.choice([self.words(1, 6), self.links(2, 6), f"<h2>{self.words(1, 5)}</h2>"]), self.name("header", None, "header", "masthead"), False)
+        return self.el("div", self.links(2, 5), self.name("share", "share", "social"), False)
 
     def article(self) -> str:
         r = self.r
         parts = [f"<{h}>{self.words(2, 14)}</{h}>" for h in ["h1"] * (r.random() < 0.8)]
-        for _ in range(r.randint(1, 14)):
+        for _ in range(r.choice([1, r.randint(1, 14), r.randint(1, 14), r.randint(1, 14)])):
             body = self.words(*r.choice([(1, 3), (5, 40), (20, 120), (60, 300)]))
             if r.random() < 0.15:
                 body = body.replace(" ", " <a href='/y'>link</a> ", 1)
@@ -83,7 +101,7 @@ class _Maker:
         if len(parts) > 3 and r.random() < 0.5:
             parts.insert(r.randrange(len(parts) + 1), self.boiler())
         tag, name = r.choice([("article", None), ("article", None), ("article", "post"), ("main", None), ("div", "content"), ("div", "article-body"), ("div", "post"), ("section", "entry"), ("div", "main"), ("div", None), ("div", "x1")])
-        inner = self.el(tag, "".join(parts), name, True)
+        inner = self.el(tag, "".join(parts), self.name("main", name), True)
         for _ in range(r.choice([0, 0, 1])):
             inner = self.el(r.choice(["div", "main", "section"]), inner + (self.boiler() if r.random() < 0.3 else ""), r.choice([None, "wrap", "container", "page"]))
         return inner
@@ -95,9 +113,9 @@ class _Maker:
 
 
 @functools.cache
-def fit(pages: int = PAGES, seed: int = 1) -> boosting.Trees:
+def fit(pages: int = PAGES, seed: int = 1, without: frozenset = frozenset()) -> boosting.Trees:
     """Calibrated trees from made pages; an element counts as main text if more of its characters are than aren't."""
-    maker = _Maker(seed)
+    maker = _Maker(seed, without)
     x, y, aside = [], [], []
     for k in range(pages):
         nodes, _ = read(maker.page())
