@@ -26,8 +26,8 @@ def weighted_loss(rows: DataFrame) -> DataFrame:
 
 
 def perplexity(loss: Column) -> Column:
-    """exp of the loss, which counts up to 20."""
-    return F.exp(F.least(loss, F.lit(20.0)))
+    """exp of the loss, which counts up to 20; null without a loss."""
+    return F.when(loss.isNotNull(), F.exp(F.least(loss, F.lit(20.0))))
 
 
 def step_metrics(rows: DataFrame) -> DataFrame:
