@@ -67,8 +67,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result but the last is a table in the shared folder."""
+    """All stages over documents; each result but the last is a table in the shared folder, removed when the next is there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = common.table(stage(spark, docs, sf_dir), name)
+        before, docs = docs, common.table(stage(spark, docs, sf_dir), name)
+        common.remove(before)
     return STAGES[-1][1](spark, docs, sf_dir)
