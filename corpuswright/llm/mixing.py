@@ -198,4 +198,5 @@ def scheduled(docs: DataFrame, weights: dict[str, float] | None = None, block: i
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
     """docs in the order of the mix, with its own columns and all rows: consecutive files hold consecutive slots."""
     found, out = _scheduled(docs, weights, block)
-    return found.orderBy(out["slot"], out["place"]).select("_row.*")
+    placed = found.select("_row", out["slot"].alias("_slot"), out["place"].alias("_place"))
+    return placed.orderBy("_slot", "_place").select("_row.*")
