@@ -15,6 +15,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SALTS = 16
 #: A key with more than one in so many of the rows that are looked up is hot; so there are fewer hot keys than this.
 HOT = 1000
+#: Narrow rows of a file, about, and files of a table.
+ROWS, LEAST = 500_000, 8
 _made: dict[str, SparkSession] = {}
 
 
@@ -29,8 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once."""
+def table(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once.
+
+    If df is known to have at most `rows` narrow rows, it is written as LEAST files, or one for ROWS rows if those are more:
+    on some file systems each file costs several processes or requests.
+    """
+    if rows is not None:
+        df = df.coalesce(max(LEAST, -(-rows // ROWS)))
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpuswright/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)

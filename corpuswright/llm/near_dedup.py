@@ -258,6 +258,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     linked = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = linked.groupBy("n_shingles", "digest", "registers").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"))
     classes = table(classes, "classes")
+    n = classes.count()
     bands = classes.select("rep", "n_shingles", F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(registers, i * {ROWS} + 1, {ROWS})))")).alias("band", "key"))
     # xor with the bucket's key makes another member the least in each bucket
     buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("rep").bitwiseXOR(F.col("key"))).alias("least")).where("n > 1")
@@ -273,7 +274,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
 
     ends = pairs.selectExpr("a as node", "b as other", "estimate").unionByName(pairs.selectExpr("b as node", "a as other", "estimate"))
     best = ends.groupBy("node").agg(F.max(F.struct("estimate", "other")).alias("m")).select(F.least("node", "m.other").alias("a"), F.greatest("node", "m.other").alias("b"))
-    first = table(best.distinct(), "first")
+    first = table(best.distinct(), "first", n)
     labels = components.merge(None, table(_confirmed(first, full, percent), "links"))
     rest = table(_apart(pairs.select("a", "b").join(first, ["a", "b"], "left_anti"), labels), "rest")
     labels = components.merge(labels, table(_confirmed(rest, full, percent), "links"))
@@ -281,7 +282,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
 
     # only classes of several rows, or with a smaller component, are looked up
     told = _labelled(classes, labels, "rep", "root").where("rows > 1 OR root <> rep").select("digest", "n_shingles", "root", "rows")
-    told = table(told, "told")
+    told = table(told, "told", n)
     remove(classes, members, pairs, full, first, rest, labels)
     rows = linked.select("doc_id", "n_shingles", "digest")
     found = looked_up(rows, told, ["digest", "n_shingles"], "rows", F.col("doc_id")).select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
